@@ -1,0 +1,4 @@
+"""One query per operator over the given tables, with reference SQL."""
+
+from . import source_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401

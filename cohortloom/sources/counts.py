@@ -16,14 +16,19 @@ def genes_frame(spark: SparkSession, genes: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(genes)), "pos int, gene_id string")
 
 
-def count_file_lines(spark: SparkSession, path: str) -> DataFrame:
+# The file's own name without its extensions.
+FILE_NAME = r"([^/]+?)(?:\.[^/]*)?$"
+
+
+def count_file_lines(spark: SparkSession, path: str, file_id: str = FILE_NAME) -> DataFrame:
     """Data lines of STAR-style files: ``file_id, gene_id, tpm_text``.
 
-    Comment and blank lines are skipped. The header line names the columns; it is
+    Comment and blank lines are skipped; ``file_id`` is the pattern that takes
+    the id from a path. The header line names the columns; it is
     read from one file and every file must repeat it.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/]*)?$", 1).alias("file_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), file_id, 1).alias("file_id"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     ).where("line <> '' and not startswith(line, '#')")
     heads = lines.where(F.array_contains(F.split("line", "\t"), "gene_id"))
@@ -57,13 +62,13 @@ def count_issues(cells: DataFrame) -> DataFrame:
     )
 
 
-def read_count_files(spark: SparkSession, path: str, genes: Sequence[str]) -> DataFrame:
+def read_count_files(spark: SparkSession, path: str, genes: Sequence[str], file_id: str = FILE_NAME) -> DataFrame:
     """``file_id, gene_id, value`` with value = log2(tpm+1), model genes only.
 
     Rows of other genes are dropped against the broadcast gene list before any
     shuffle.
     """
-    cells = select_genes(count_file_lines(spark, path), genes_frame(spark, genes))
+    cells = select_genes(count_file_lines(spark, path, file_id), genes_frame(spark, genes))
     require(count_issues(cells), path)
     return cells.select("file_id", F.col("target").alias("gene_id"), log2_tpm1(to_number("tpm_text")).alias("value"))
 
