@@ -55,16 +55,33 @@ def sigmoid(c: Column | str) -> Column:
     return F.when(c >= 0, 1.0 / (1.0 + F.exp(-c))).otherwise(F.exp(c) / (1.0 + F.exp(c)))
 
 
+def let(value: Column | str, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    The optimizer moves a column's definition to where the column is used; inside
+    a lambda that would repeat it for every element. A lambda variable stays put.
+    """
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
+def gather(values: Column | str, positions: Sequence[int]) -> Column:
+    """Array elements at the given positions; null outside the array."""
+    at = int_array(positions)
+    return let(values, lambda v: F.transform(at, lambda i: F.get(v, i)))
+
+
 def array_sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def softmax(c: Column | str) -> Column:
-    c = _col(c)
-    return F.transform(
-        F.array(F.transform(c, lambda v: F.exp(v - F.array_max(c)))),
-        lambda e: F.transform(e, lambda v: v / array_sum(e)),
-    )[0]
+    def shifted(x):
+        return let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+    def normalized(e):
+        return let(array_sum(e), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(let(c, shifted), normalized)
 
 
 def log2_tpm1(c: Column | str) -> Column:

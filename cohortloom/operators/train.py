@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.ids import project_code
-from ..functions.numeric import argmax_class, double_array, int_array
+from ..functions.numeric import argmax_class, double_array, gather
 from ..session import materialize
 from .adapt import unit_if_zero
 from .align import Aligned
@@ -109,7 +109,7 @@ class Fitted:
 
     def features(self, rows: DataFrame) -> Aligned:
         """Rows reduced to the selected genes, ready to score."""
-        picked = F.transform(int_array(self.positions), lambda i: F.get(F.col("x"), i))
+        picked = gather("x", self.positions)
         rest = [c for c in rows.columns if c != "x"]
         n = len(self.positions)
         return Aligned(rows.select(*rest, picked.alias("x")), self.model, tuple(range(n)), self.model.genes)
@@ -136,7 +136,7 @@ def _fit(rows: DataFrame, y: str, classes: Sequence, genes: Sequence[str], k: in
         for value in classes:
             weight = F.when(F.col(y) == value, n / (len(counts) * counts[value])).otherwise(weight)
     z = F.zip_with(
-        F.zip_with(F.transform(int_array(pos), lambda i: F.get(F.col("x"), i)), double_array(mean), lambda v, m: v - m),
+        F.zip_with(gather("x", pos), double_array(mean), lambda v, m: v - m),
         double_array(scale), lambda v, s: v / s,
     )
     train = rows.select(label.cast("double").alias("label"), weight.alias("weight"), array_to_vector(z).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)

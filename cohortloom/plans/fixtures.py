@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ids import donor_id
+from ..functions.numeric import gather, int_array
 from ..operators.adapt import unit_if_zero
 from ..operators.model import LinearModel, ModelTables
 from ..sources.matrix import ExpressionMatrix
@@ -74,10 +75,10 @@ DEGRADED_GENES = tuple(GENES[p] if p % 2 else GENES[p].rsplit(".", 1)[0] for p i
 
 def degraded(spark: SparkSession, sf: str, shift: float = 0.0) -> ExpressionMatrix:
     """Every seventh gene missing, some cells unreadable, half the ids unversioned."""
-    positions = F.array(*[F.lit(p) for p in DEGRADED_POSITIONS])
-    cells = F.transform(
-        positions,
-        lambda p: F.when((p * 31 + F.col("vec_id")) % 97 == 0, F.lit("bad")).otherwise((F.get(F.col("value"), p) + shift).cast("string")),
+    cells = F.zip_with(
+        gather("value", DEGRADED_POSITIONS),
+        int_array(DEGRADED_POSITIONS),
+        lambda v, p: F.when((p * 31 + F.col("vec_id")) % 97 == 0, F.lit("bad")).otherwise((v + shift).cast("string")),
     )
     rows = table(spark, sf, "embeddings").select("vec_id", sample_id().alias("sample"), cell_values().alias("value"))
     return ExpressionMatrix(rows.select("sample", cells.alias("cells")), DEGRADED_GENES)

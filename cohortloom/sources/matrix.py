@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.ids import strip_version
-from ..functions.numeric import finite_or_null, int_array, to_number
+from ..functions.numeric import finite_or_null, gather, int_array, let, to_number
 from ..operators.checks import offenders, require, union_all, unique_key_issues
 
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
@@ -41,7 +41,7 @@ class ExpressionMatrix:
         """Numbers at the given header positions; -1 yields null."""
         if list(positions) == list(range(len(self.genes))):
             return F.transform("cells", self.numbers)
-        return F.transform(int_array(positions), lambda i: self.numbers(F.get(F.col("cells"), i)))
+        return F.transform(gather("cells", positions), self.numbers)
 
     def header(self) -> DataFrame:
         return self.rows.sparkSession.createDataFrame(list(enumerate(self.genes)), "pos int, gene_id string")
@@ -150,8 +150,7 @@ def _read_delimited(spark: SparkSession, path: str, sep: str, index_col: int | s
     # The CSV source drops each part's first line and hands over the others whole.
     lines = spark.read.csv(path, schema="line string", sep=_WHOLE_LINE, quote="", header=True)
     fields = lines.select(split_fields(F.regexp_replace("line", "\r$", ""), sep).alias("f"))
-    others = int_array([i for i in range(len(header)) if i != at])
-    cells = F.slice("f", 2, len(axis)) if at == 0 else F.transform(others, lambda i: F.get(F.col("f"), i))
+    cells = F.slice("f", 2, len(axis)) if at == 0 else gather("f", [i for i in range(len(header)) if i != at])
     return ExpressionMatrix(fields.select(F.get("f", F.lit(at)).alias("sample"), cells.alias("cells")), tuple(axis))
 
 
@@ -200,9 +199,11 @@ def gene_row_cells(spark: SparkSession, path: str, sep: str = "\t", genes: DataF
         .where("line <> head_line")
         .select("file", "head", split_fields(F.col("line"), sep).alias("f"))
     )
-    return body.select(
-        "file", F.get("f", F.lit(0)).alias("gene_id"), F.posexplode("head").alias("at", "sample"), "f"
-    ).where("at > 0").select("file", "gene_id", "sample", F.get("f", F.col("at")).alias("cell"))
+    width = F.greatest(F.size("head"), F.size("f"))
+    pairs = F.arrays_zip(F.slice("head", F.lit(2), width).alias("sample"), F.slice("f", F.lit(2), width).alias("cell"))
+    return body.select("file", F.get("f", F.lit(0)).alias("gene_id"), F.explode(pairs).alias("c")).select(
+        "file", "gene_id", F.col("c.sample"), F.col("c.cell")
+    )
 
 
 def matrix_from_long(
@@ -219,12 +220,13 @@ def matrix_from_long(
         genes = [r["g"] for r in axis_rows]
         _require_header(genes, None, "long cells")
     axis = spark.createDataFrame(list(enumerate(genes)), "pos int, axis_gene string")
+    at = int_array(range(len(genes)))
     rows = (
         df.select(F.col(sample).alias("sample"), F.col(gene).alias("axis_gene"), F.col(value).alias("v"))
         .join(F.broadcast(axis), "axis_gene")
         .groupBy("sample")
         .agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
-        .select("sample", F.transform(int_array(range(len(genes))), lambda i: F.try_element_at(F.col("m"), i)).alias("cells"))
+        .select("sample", let("m", lambda m: F.transform(at, lambda i: F.try_element_at(m, i))).alias("cells"))
     )
     return ExpressionMatrix(rows, tuple(genes))
 
