@@ -123,17 +123,20 @@ def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: Sequence
     )
 
 
+def class_sides(truth: Column, predicted: Column, n: Column, right: Column, none: Column) -> Column:
+    """A prediction seen from its true and from its predicted class."""
+
+    def side(label, support, called, tp):
+        return F.struct(label.alias("label"), support.alias("support"), called.alias("called"), tp.alias("tp"))
+
+    return F.array(side(truth, n, none, right), side(predicted, none, n, none))
+
+
 def per_class_prf(matrix: DataFrame) -> DataFrame:
     """Support, precision, recall, f1 per class from ``confusion_matrix`` rows."""
-    sides = matrix.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("true_label").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called"),
-                         F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(0).alias("tp")),
-                F.struct(F.col("predicted_label").alias("label"), F.lit(0).cast("bigint"), F.col("n"), F.lit(0).cast("bigint")),
-            )
-        )
-    ).groupBy("label").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("tp").alias("tp"))
+    none = F.lit(0).cast("bigint")
+    right = F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(none)
+    sides = matrix.select(F.inline(class_sides(F.col("true_label"), F.col("predicted_label"), F.col("n"), right, none))).groupBy("label").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("tp").alias("tp"))
     precision, recall = ratio(F.col("tp"), F.col("called")), ratio(F.col("tp"), F.col("support"))
     return sides.select(
         "label", "support", precision.alias("precision"), recall.alias("recall"),

@@ -27,6 +27,7 @@ from .cohort import union_predictions
 from .metrics import (
     accuracy,
     balanced_accuracy,
+    class_sides,
     classification_metrics,
     confusion_matrix,
     cv_summary,
@@ -239,13 +240,7 @@ def fold_metrics(oof: DataFrame, labels: Sequence[str], group: str = "case_id")
         (F.sum("n_test_patients").over(w) - F.col("n_test_patients")).alias("n_train_patients"),
     )
     sides = oof.select(
-        "fold",
-        F.inline(
-            F.array(
-                F.struct(F.col("true_type").alias("label"), F.lit(1).alias("support"), F.lit(0).alias("called"), F.col("correct").alias("tp")),
-                F.struct(F.col("predicted_type").alias("label"), F.lit(0), F.lit(1), F.lit(0)),
-            )
-        ),
+        "fold", F.inline(class_sides(F.col("true_type"), F.col("predicted_type"), F.lit(1), F.col("correct"), F.lit(0)))
     ).groupBy("fold", "label").agg(*[F.sum(c).alias(c) for c in ("support", "called", "tp")])
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), (F.col("support") + F.col("called")).cast("double")), F.lit(0.0))
     macro = sides.groupBy("fold").agg((F.sum(f1) / len(labels)).alias("macro_f1"))
