@@ -234,7 +234,7 @@ MULTICLASS_MODEL = """gene_stats as (
   from expression join metadata using (sample) where not is_test group by pos),
 class_coef as (
   select substr(project,6) as class, cast(substr(project,7) as integer) as class_idx, pos, mean, scale, (avg(value)-mean)/scale as coef
-  from expression join metadata using (sample) join gene_stats using (pos) where not is_test group by all)"""
+  from expression join metadata using (sample) join gene_stats using (pos) where not is_test group by project, pos, mean, scale)"""
 
 DEGRADED = """degraded as (
   select sample, pos, case when pos%2=0 then regexp_replace(gene_id,'\\.[0-9]+$','') else gene_id end as gene_id,

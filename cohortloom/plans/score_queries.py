@@ -511,7 +511,8 @@ def qc_reference(spark, sf):
     m = fx.binary_model(spark, sf)
     full = fx.expression(spark, sf)
     other = fx.degraded(spark, sf)
-    other = type(other)(other.rows.select(F.concat(F.lit("x"), F.col("sample")).alias("sample"), "cells"), other.genes)
+    same_names = tuple(fx.GENES[p] for p in fx.DEGRADED_POSITIONS)
+    other = type(other)(other.rows.select(F.concat(F.lit("x"), F.col("sample")).alias("sample"), "cells"), same_names)
     return rounded(qc.qc_reference(spark, m, {"clean": full, "degraded": other}, ["clean", "degraded"])).drop("report_json")
 
 
