@@ -293,8 +293,11 @@ def union_cohorts(cohorts: Sequence[ExpressionMatrix]) -> ExpressionMatrix:
 
 
 def union_predictions(parts: Sequence[DataFrame], expected: DataFrame, key: str = "sample") -> DataFrame:
-    """Out-of-fold parts as one table that covers every sample once."""
-    merged = union_all(parts)
+    """Out-of-fold parts as one written table that covers every sample once.
+
+    Written before it is checked, so the parts are computed once.
+    """
+    merged = materialize(union_all(parts), "predictions")
     counts = merged.groupBy(key).agg(F.count("*").alias("copies"))
     gaps = expected.select(key, F.lit(1).alias("wanted")).join(counts, key, "full_outer").agg(
         F.count_if(F.col("copies").isNull() | F.col("wanted").isNull()).alias("uncovered"), F.count_if(F.col("copies") > 1).alias("repeated")

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.ids import project_code
-from ..functions.numeric import argmax_class, double_array, gather
+from ..functions.numeric import argmax_class, double_array, gather, string_array
 from ..session import materialize
 from .adapt import unit_if_zero
 from .align import Aligned
@@ -40,37 +40,52 @@ from .metrics import (
 from .model import LinearModel
 from .ranking import roc_auc
 from .score import binary_scores, score_aligned
-from .splits import dependency_issues, grouped_stratified_folds, leakage_issues, loco_splits, with_folds
+from .splits import dependency_issues, grouped_stratified_folds, loco_splits, with_folds
 
 MAX_ITER = 5000
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
+PARALLEL_FITS = 4
 
 
-def class_moments(rows: DataFrame, y: str = "y") -> DataFrame:
-    """n, mean and population variance per (gene position, class)."""
-    cells = rows.select(F.col(y).cast("string").alias("y"), F.posexplode("x").alias("pos", "v"))
-    return cells.groupBy("pos", "y").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+def class_moments(rows: DataFrame, y: str = "y", parts: Sequence[str] = ()) -> DataFrame:
+    """n, mean and population variance per (gene position, class), and part."""
+    cells = rows.select(*parts, F.col(y).cast("string").alias("y"), F.posexplode("x").alias("pos", "v"))
+    return cells.groupBy(*parts, "pos", "y").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+
+
+def merge_moments(moments: DataFrame) -> DataFrame:
+    """Moments of several parts as one: the training side of a fold is the sum
+    of the other folds, so k folds need one pass over the cells, not k.
+
+    At most parts x genes x classes rows.
+    """
+    w = Window.partitionBy("pos", "y")
+    grand = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    around = moments.select("pos", "y", "n", grand.alias("grand"), (F.col("n") * (F.col("var") + (F.col("mean") - grand) ** 2)).alias("ss"))
+    return around.groupBy("pos", "y").agg(
+        F.sum("n").alias("n"), F.max("grand").alias("mean"), (F.sum("ss") / F.sum("n")).alias("var")
+    )
 
 
 def gene_totals(moments: DataFrame) -> DataFrame:
-    """Per gene over classes: n, mean, population sd, and the one-way F.
+    """Per gene over classes: n, mean, population sd, the one-way F, class sizes.
 
     Sums of squares are formed around class means, so nothing cancels. F is
     infinite for a gene constant inside every class, null for a constant gene.
     """
     w = Window.partitionBy("pos")
-    n = F.sum("n").over(w)
-    grand = F.sum(F.col("n") * F.col("mean")).over(w) / n
+    grand = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
     sums = moments.select("pos", "y", "n", "var", (F.col("n") * (F.col("mean") - grand) ** 2).alias("ssb_c"), grand.alias("grand")).groupBy("pos").agg(
         F.sum("n").alias("n"),
         F.count("*").alias("k"),
         F.max("grand").alias("mean"),
         F.sum("ssb_c").alias("ssb"),
         F.sum(F.col("n") * F.col("var")).alias("ssw"),
+        F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("class_n"),
     )
     between, within = F.col("ssb") / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))
     f = F.when(within > 0, between / within).when(between > 0, F.lit(math.inf))
-    return sums.select("pos", "n", "k", "mean", F.sqrt((F.col("ssb") + F.col("ssw")) / F.col("n")).alias("sd"), f.alias("f"))
+    return sums.select("pos", "n", "k", "mean", F.sqrt((F.col("ssb") + F.col("ssw")) / F.col("n")).alias("sd"), f.alias("f"), "class_n")
 
 
 def anova_f(rows: DataFrame, y: str = "y") -> DataFrame:
@@ -116,8 +131,8 @@ class Fitted:
         return Aligned(rows.select(*rest, picked.alias("x")), self.model, tuple(range(n)), self.model.genes)
 
 
-def _fit(rows: DataFrame, y: str, classes: Sequence, genes: Sequence[str], k: int, c: float, balanced: bool, family: str, max_iter: int, context: str) -> Fitted:
-    """Selection and scaling from one pass over all genes, then the fit.
+def _fit(rows: DataFrame, moments: DataFrame, y: str, genes: Sequence[str], k: int, c: float, family: str, max_iter: int, context: str) -> Fitted:
+    """Selection and scaling from the moments, then the fit on the chosen genes.
 
     Scaling before or after selection gives the same F and the same scaler, as F
     does not change under scaling.
@@ -126,49 +141,60 @@ def _fit(rows: DataFrame, y: str, classes: Sequence, genes: Sequence[str], k: in
         raise ValueError(f"k must be between 1 and {len(genes)}")
     if not c > 0:
         raise ValueError("C must be positive")
-    stats = materialize(gene_totals(class_moments(rows, y)), "gene-totals")
-    chosen = [(r["pos"], r["mean"], r["sd"] or 1.0) for r in select_k_best(stats, k).collect()]
-    pos, mean, scale = [p for p, _, _ in chosen], [m for _, m, _ in chosen], [s for _, _, s in chosen]
-    counts = {r[y]: r["n_class"] for r in class_weights(rows, y).collect()}
+    chosen = select_k_best(gene_totals(moments), k).collect()
+    counts = dict(chosen[0]["class_n"]) if chosen else {}
+    classes = sorted(counts)
+    if len(classes) < 2 or (family == "binomial" and classes != ["0", "1"]):
+        raise ValueError(f"{context}: classes in the training rows are {classes}")
     n = sum(counts.values())
-    label = F.array_position(F.array(*[F.lit(v) for v in classes]), F.col(y)) - 1
+    pos, mean, scale = [r["pos"] for r in chosen], [r["mean"] for r in chosen], [r["sd"] or 1.0 for r in chosen]
+    target = F.col(y).cast("string")
     weight = F.lit(1.0)
-    if balanced:
-        for value in classes:
-            weight = F.when(F.col(y) == value, n / (len(counts) * counts[value])).otherwise(weight)
-    z = F.zip_with(
-        F.zip_with(gather("x", pos), double_array(mean), lambda v, m: v - m),
-        double_array(scale), lambda v, s: v / s,
+    if family == "binomial":
+        for name in classes:
+            weight = F.when(target == name, n / (len(classes) * counts[name])).otherwise(weight)
+    centered = F.zip_with(gather("x", pos), double_array(mean), lambda v, m: v - m)
+    z = F.zip_with(centered, double_array(scale), lambda v, s: v / s)
+    train = rows.select(
+        (F.array_position(string_array(classes), target) - 1).cast("double").alias("label"), weight.alias("weight"), array_to_vector(z).alias("features")
     )
-    train = rows.select(label.cast("double").alias("label"), weight.alias("weight"), array_to_vector(z).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # The balanced weights sum to n as well, so the penalty is 1/(C n) in both cases.
-        lr = LogisticRegression(
-            weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, family=family, maxIter=max_iter, tol=TOLERANCE
-        ).fit(train)
-    finally:
-        train.unpersist()
+    # Spark ML blocks and caches the features itself. Balanced weights sum to n
+    # too, so the penalty is 1/(C n) in both cases.
+    lr = LogisticRegression(
+        weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, family=family, maxIter=max_iter, tol=TOLERANCE
+    ).fit(train)
     if lr.summary.totalIterations >= max_iter:
         raise RuntimeError(f"{context} did not converge in {max_iter} iterations")
-    coef = lr.coefficientMatrix.toArray().tolist()
-    intercept = list(lr.interceptVector.toArray())
     model = LinearModel(
-        tuple(genes[p] for p in pos), tuple(mean), tuple(scale), tuple(tuple(r) for r in coef), tuple(map(float, intercept)),
-        ("normal", "tumor") if family == "binomial" else tuple(map(str, classes)),
+        tuple(genes[p] for p in pos), tuple(mean), tuple(scale), tuple(tuple(r) for r in lr.coefficientMatrix.toArray().tolist()),
+        tuple(float(b) for b in lr.interceptVector.toArray()), ("normal", "tumor") if family == "binomial" else tuple(classes),
     )
     return Fitted(tuple(pos), model, lr.summary.totalIterations)
 
 
-def fit_binary(rows: DataFrame, genes: Sequence[str], k: int = 2000, c: float = 0.1, y: str = "y", max_iter: int = MAX_ITER, context: str = "binary model") -> Fitted:
+def fit_binary(rows: DataFrame, genes: Sequence[str], k: int = 2000, c: float = 0.1, y: str = "y", max_iter: int = MAX_ITER, context: str = "binary model", moments: DataFrame | None = None) -> Fitted:
     """ANOVA selection, scaling, L2 logistic regression with balanced weights."""
-    return _fit(rows, y, [0, 1], genes, k, c, True, "binomial", max_iter, context)
+    return _fit(rows, class_moments(rows, y) if moments is None else moments, y, genes, k, c, "binomial", max_iter, context)
+
 
+def fit_multiclass(rows: DataFrame, genes: Sequence[str], k: int = 1000, c: float = 2.0, y: str = "y", max_iter: int = MAX_ITER, context: str = "multiclass model", moments: DataFrame | None = None) -> Fitted:
+    return _fit(rows, class_moments(rows, y) if moments is None else moments, y, genes, k, c, "multinomial", max_iter, context)
 
-def fit_multiclass(rows: DataFrame, genes: Sequence[str], k: int = 1000, c: float = 2.0, y: str = "y", max_iter: int = MAX_ITER, context: str = "multiclass model") -> Fitted:
-    classes = [r[y] for r in rows.select(y).distinct().orderBy(y).collect()]
-    if len(classes) < 2:
-        raise ValueError("at least two classes are needed")
-    return _fit(rows, y, classes, genes, k, c, False, "multinomial", max_iter, context)
+
+def fit_each(rows: DataFrame, part: str, names: Sequence, y: str, fit: Callable[..., Fitted]) -> dict:
+    """One fit per part, on all other parts.
+
+    ``rows`` is a written table split by ``part``. The fits are independent Spark
+    jobs and run side by side, as in Spark ML's own cross-validation.
+    """
+    moments = materialize(class_moments(rows, y, [part]), "moments")
+
+    def one(name):
+        others = F.col(part) != name
+        return fit(rows.where(others), moments=merge_moments(moments.where(others)), context=f"{part} {name}")
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return dict(zip(names, pool.map(one, names)))
 
 
 def predictions(fitted: Fitted, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -186,21 +212,23 @@ def evaluate_heldout(fitted: Fitted, test: DataFrame, y: str = "y", project: str
     return {"metrics": overall, "per_project": per_project, "predictions": scored}
 
 
+def _folded(rows: DataFrame, n_folds: int, seed: int, group: str, strata: Sequence[str]) -> DataFrame:
+    folds = grouped_stratified_folds(rows, n_folds, seed, group, strata)
+    folded = materialize(with_folds(rows, folds, group), "folds", by="fold")
+    require(dependency_issues(folded, group, "fold"), "folds share patients")
+    return folded
+
+
 def grouped_cv(rows: DataFrame, genes: Sequence[str], k: int, c: float, n_folds: int = 5, seed: int = 1, y: str = "y", group: str = "case_id", strata: Sequence[str] = ("project", "y")) -> DataFrame:
     """AUC per patient-disjoint fold; every stage is refitted inside the fold."""
-    folded = materialize(with_folds(rows, grouped_stratified_folds(rows, n_folds, seed, group, strata), group), "folds")
-    parts = []
-    for fold in range(n_folds):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        require(leakage_issues(train, test, [group]), f"fold {fold + 1}")
-        fitted = fit_binary(train, genes, k, c, y, context=f"fold {fold + 1}")
-        parts.append(predictions(fitted, test))
-    scored = materialize(union_predictions(parts, rows), "cv-scores")
-    auc = roc_auc(scored, y, "tumor_probability", ["fold"])
+    folded = _folded(rows, n_folds, seed, group, strata)
+    fits = fit_each(folded, "fold", range(n_folds), y, lambda train, **kw: fit_binary(train, genes, k, c, y, **kw))
+    scored = union_predictions([predictions(fits[f], folded.where(F.col("fold") == f)) for f in fits], folded)
     sizes = folded.groupBy("fold").agg(F.count("*").alias("n_validation"))
-    n = folded.count()
-    return auc.join(sizes, "fold").select(
-        (F.col("fold") + 1).alias("fold"), (F.lit(n) - F.col("n_validation")).alias("n_train"), "n_validation", "auc"
+    total = F.sum("n_validation").over(Window.partitionBy(F.lit(0)))
+    # One row per fold.
+    return roc_auc(scored, y, "tumor_probability", ["fold"]).join(sizes, "fold").select(
+        (F.col("fold") + 1).alias("fold"), (total - F.col("n_validation")).alias("n_train"), "n_validation", "auc"
     ).orderBy("fold")
 
 
@@ -210,20 +238,16 @@ def oof_predictions(rows: DataFrame, genes: Sequence[str], k: int, c: float, n_f
     thin = per_class.where(F.col("patients") < n_folds).limit(5).collect()
     if thin:
         raise ValueError(f"classes with fewer patients than folds: {[r[y] for r in thin]}")
-    folded = materialize(with_folds(rows, grouped_stratified_folds(rows, n_folds, seed, group, [y]), group), "folds")
-    parts = []
-    for fold in range(n_folds):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        require(leakage_issues(train, test, [group]), f"fold {fold + 1}")
-        fitted = fit_multiclass(train, genes, k, c, y, context=f"fold {fold + 1}")
-        scored = score_aligned(fitted.features(test))
-        parts.append(
-            scored.select(
-                "sample", group, (F.col("fold") + 1).alias("fold"), F.col(y).cast("string").alias("true_type"),
-                argmax_class("probability", fitted.model.classes).alias("predicted_type"), F.array_max("probability").alias("confidence"),
-            )
+    folded = _folded(rows, n_folds, seed, group, [y])
+    fits = fit_each(folded, "fold", range(n_folds), y, lambda train, **kw: fit_multiclass(train, genes, k, c, y, **kw))
+    parts = [
+        score_aligned(fits[f].features(folded.where(F.col("fold") == f))).select(
+            "sample", group, (F.col("fold") + 1).alias("fold"), F.col(y).cast("string").alias("true_type"),
+            argmax_class("probability", fits[f].model.classes).alias("predicted_type"), F.array_max("probability").alias("confidence"),
         )
-    scored = materialize(union_predictions(parts, rows), "oof")
+        for f in fits
+    ]
+    scored = union_predictions(parts, folded)
     return scored.withColumn("correct", F.when(F.col("true_type") == F.col("predicted_type"), 1).otherwise(0))
 
 
@@ -269,16 +293,16 @@ def loco(rows: DataFrame, genes: Sequence[str], k: int = 2000, c: float = 0.1, y
     bad = [s["held_out_type"] for s in splits if not s["valid"]]
     if bad or len(splits) < 2:
         raise ValueError(f"types that cannot be held out: {bad}")
-    parts = []
-    for s in splits:
-        name = s["held_out_type"]
-        fitted = fit_binary(rows.where(F.col(project) != name), genes, k, c, y, context=f"held-out {name}")
-        parts.append(
-            predictions(fitted, rows.where(F.col(project) == name)).select(
-                "sample", group, F.lit(name).alias("held_out_type"), F.col(y).alias("label"), "tumor_probability", "call"
-            )
+    split = materialize(rows, "by-type", by=project)
+    names = [s["held_out_type"] for s in splits]
+    fits = fit_each(split, project, names, y, lambda train, **kw: fit_binary(train, genes, k, c, y, **kw))
+    parts = [
+        predictions(fits[name], split.where(F.col(project) == name)).select(
+            "sample", group, F.lit(name).alias("held_out_type"), F.col(y).alias("label"), "tumor_probability", "call"
         )
-    scored = materialize(union_predictions(parts, rows), "loco")
+        for name in names
+    ]
+    scored = union_predictions(parts, split)
     per_type = type_metrics(scored)
     return {"per_type": per_type, "pooled": pooled_and_macro(scored, per_type), "predictions": scored}
 

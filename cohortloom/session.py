@@ -28,12 +28,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result feeds several later jobs and must be the same in all
-    of them even if executors are lost in between.
+    of them even if executors are lost in between. ``by`` splits the table into
+    folders, so a filter on that column reads only what it names.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    if by:
+        writer = writer.partitionBy(by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
