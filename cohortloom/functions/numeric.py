@@ -28,7 +28,10 @@ def int_array(values: Sequence[int]) -> Column:
 
 
 def string_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(str(v)) for v in values]).cast("array<string>")
+    """Array literal of names; as one split text it stays one plan node."""
+    if not len(values):
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x1f".join(map(str, values))), "\x1f")
 
 
 def is_finite(c: Column | str) -> Column:

@@ -52,10 +52,11 @@ class ModelTables:
         size = self.coef.count()
         if size > MAX_COEFFICIENTS:
             raise ValueError(f"model has {size} coefficients; at most {MAX_COEFFICIENTS} are shipped with a plan")
-        return _collect(self)
+        return collect_model(self)
 
 
-def _collect(tables: ModelTables) -> LinearModel:
+def collect_model(tables: ModelTables) -> LinearModel:
+    """The model as it is, for tables already known to be sound."""
     genes = tables.genes.orderBy("pos").collect()
     at = {r["pos"]: i for i, r in enumerate(genes)}
     head = tables.head.orderBy("class_idx").collect()

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import check_fraction, quantile_name, sigmoid, sorted_quantile
+from ..session import materialize
 from ..sources.matrix import ExpressionMatrix
 from .align import Aligned, align
 from .model import LinearModel
@@ -196,7 +197,8 @@ def inspect(
 def inspect_aligned(a: Aligned, n_input_genes: int, threshold: float = 0.5, expected_class: str = "unknown", rules: dict | None = None, reference_source: str = "built-in heuristic rules") -> dict:
     limits = check_rules(rules)
     n_genes = len(a.positions)
-    stats = sample_stats(a)
+    # A few numbers per sample instead of its cells, for the two tables below.
+    stats = materialize(sample_stats(a).drop("x", "z"), "sample-figures")
     t = cell_totals(stats, n_genes, threshold).head().asDict()
     _, cell_q = exact_cell_quantiles(finite_cells(a), "value", VALUE_PROBS)
     values = {quantile_name(p): v for p, v in zip(VALUE_PROBS, cell_q)}

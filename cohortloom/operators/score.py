@@ -18,7 +18,7 @@ from ..functions.numeric import (
     string_array,
 )
 from ..sources.matrix import ExpressionMatrix
-from .align import Aligned, align, alignment_issues, alignment_report, gene_match_issues
+from .align import Aligned, align, alignment_issues, alignment_report, gene_match_issues, worst_invalid
 from .model import LinearModel, require_tumor_model
 
 MODES = ("none", "cohort_zscore", "cohort_center")
@@ -80,14 +80,15 @@ def score_aligned(a: Aligned, mode: str = "none", stats: CohortStats | None = No
 def guard(a: Aligned, max_invalid_fraction: float = 0.0, allow_invalid: bool = False, min_match_rate: float = 0.5, allow_low_coverage: bool = False) -> None:
     """Refuse before any output: gene coverage on the header, then invalid cells.
 
-    Coverage needs no data. Invalid cells take one job over the report.
+    Coverage needs no data. A clean cohort takes one aggregate; the full report
+    is only made when there is something to report.
     """
     check_fraction(max_invalid_fraction, "max_invalid_cell_fraction")
     check_fraction(min_match_rate, "min_model_gene_match_rate")
     rate = a.n_matched / len(a.positions)
     if not allow_low_coverage and rate < min_match_rate:
         raise ValueError(f"gene coverage: the input has {a.n_matched} of {len(a.positions)} model genes, wanted a share of {min_match_rate:g}")
-    if not allow_invalid:
+    if not allow_invalid and worst_invalid(a):
         found = alignment_issues(alignment_report(a), max_invalid_fraction).collect()
         if found:
             raise ValueError("invalid cells: " + "; ".join(r["message"] for r in found))

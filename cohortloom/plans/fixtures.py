@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.ids import donor_id
 from ..functions.numeric import gather, int_array
 from ..operators.adapt import unit_if_zero
-from ..operators.model import LinearModel, ModelTables
+from ..operators.model import LinearModel, ModelTables, collect_model
 from ..sources.matrix import ExpressionMatrix
 
 N_GENES = 64
@@ -124,15 +124,15 @@ def multiclass_tables(spark: SparkSession, sf: str) -> ModelTables:
 
 
 def binary_model(spark: SparkSession, sf: str) -> LinearModel:
-    from ..operators.model import _collect
-
-    return _collect(binary_tables(spark, sf))
+    t = binary_tables(spark, sf)
+    # One row per gene, in one job.
+    rows = sorted(t.genes.join(t.coef, "pos").collect(), key=lambda r: r["pos"])
+    column = lambda c: tuple(r[c] for r in rows)
+    return LinearModel(column("gene_id"), column("mean"), column("scale"), (column("coef"),), (0.0,), ("normal", "tumor"))
 
 
 def multiclass_model(spark: SparkSession, sf: str) -> LinearModel:
-    from ..operators.model import _collect
-
-    return _collect(multiclass_tables(spark, sf))
+    return collect_model(multiclass_tables(spark, sf))
 
 
 # --- scores, phenotypes, files --------------------------------------------
