@@ -132,7 +132,7 @@ def youden_counts(ranks: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Best cutoff per group with its confusion counts.
 
     Candidates are the distinct scores, 0 and 1; the greatest (J, accuracy,
-    -threshold) wins. Needs both classes; null otherwise.
+    -threshold) wins. A group without both classes has no row.
     """
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
@@ -157,7 +157,7 @@ def youden_counts(ranks: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
             F.col("c.tp").alias("tp"), F.col("c.fp").alias("fp"), "pos_total", "neg_total",
         ).alias("k"),
     )
-    return keyed.groupBy(*groups).agg(F.max("k").alias("k")).select(
+    return keyed.groupBy(*groups).agg(F.max("k").alias("k")).where("k is not null").select(
         *groups,
         (-F.col("k.neg_threshold")).alias("threshold"),
         (F.col("k.neg_total") - F.col("k.fp")).alias("tn"),
@@ -228,7 +228,11 @@ def exact_cell_quantiles(values: DataFrame, value: str, probs: Sequence[float],
     if not n:
         return 0, [None] * len(probs)
     result = {0: first["lo"], 1: first["hi"]}
-    if inner:
+    if inner and n * spread < 4:
+        # Fewer rows than a bracket needs, some 13,000 at most by default.
+        exact = values.agg(F.percentile(value, list(map(float, inner)))).head()[0]
+        result.update(zip(inner, exact))
+    elif inner:
         brackets = [(first["b"][2 * i], first["b"][2 * i + 1]) for i in range(len(inner))]
         v = F.col(value)
         slot = F.filter(

@@ -83,7 +83,7 @@ def gene_totals(moments: DataFrame) -> DataFrame:
         F.sum(F.col("n") * F.col("var")).alias("ssw"),
         F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("class_n"),
     )
-    between, within = F.col("ssb") / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))
+    between, within = F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))
     f = F.when(within > 0, between / within).when(between > 0, F.lit(math.inf))
     return sums.select("pos", "n", "k", "mean", F.sqrt((F.col("ssb") + F.col("ssw")) / F.col("n")).alias("sd"), f.alias("f"), "class_n")
 
