@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import array_sum, check_fraction, double_array, sigmoid
+from ..session import materialize, small_side
 from ..sources.matrix import ExpressionMatrix
 from .align import Aligned, align
 from .metrics import classification_metrics, with_rates
@@ -107,8 +108,9 @@ def adaptation_benchmark(cohorts: dict[str, Aligned], label: str = "label", mode
     """
     scored = None
     for name, a in cohorts.items():
+        stats = cohort_stats(a) if any(m != "none" for m in modes) else None
         for mode in modes:
-            part = score_aligned(a, mode).select(
+            part = score_aligned(a, mode, stats).select(
                 F.lit(name).alias("cohort"), F.lit(mode).alias("mode"), label, F.col("probability").alias("score")
             )
             scored = part if scored is None else scored.unionByName(part)
@@ -156,15 +158,18 @@ def composition_bootstrap(
     sizes = {r[label]: r["n"] for r in a.rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         raise ValueError("both classes are needed")
-    indexed = hash_rank(a.rows.select("sample", label, a.imputed().alias("v")), "sample", seed, [label]).select(
-        label, (F.col("draw_rank") - 1).alias("at"), "v"
+    indexed = hash_rank(a.rows.select("sample", F.col(label).alias("label")), "sample", seed, ["label"]).select(
+        "label", (F.col("draw_rank") - 1).alias("at"), "sample"
     )
     size = F.when(F.col("label") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
     plan = draw_plan(spark, fractions, reps, n).withColumn(
         "at", F.pmod(F.xxhash64(F.lit(seed), "fraction", "rep", "draw"), size)
     )
     batch = ["fraction", "rep"]
-    drawn = plan.join(indexed.withColumnRenamed(label, "label"), ["label", "at"])
+    # Ids are drawn first; only drawn samples' cells are fetched.
+    picked = materialize(plan.join(indexed, ["label", "at"]), "draws")
+    values = a.rows.select("sample", a.imputed().alias("v"))
+    drawn = picked.join(values.join(small_side(picked.select("sample").distinct()), "sample", "left_semi"), "sample")
     stats = (
         drawn.select(*batch, F.posexplode("v").alias("pos", "x"))
         .groupBy(*batch, "pos")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.ids import key_problem, normalize_label
 from ..functions.numeric import is_finite
@@ -92,15 +92,34 @@ def require(issues: DataFrame, context: str) -> None:
 # --- identifiers -----------------------------------------------------------
 
 
+def offenders_by_kind(bad: DataFrame, check: str, kinds: Sequence[str]) -> DataFrame:
+    """One row per kind from ``bad(kind, example, n)``: totals and five examples.
+
+    The limit inside the window is applied in every task before the shuffle, so
+    a kind with any number of offenders sends five rows per task.
+    """
+    w = Window.partitionBy("kind").orderBy("example")
+    first = bad.where("example is not null").select("kind", "example").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= EXAMPLES)
+    spark = bad.sparkSession
+    parts = [
+        bad.groupBy("kind").agg(F.sum("n").alias("n")).withColumn("example", F.lit(None).cast("string")),
+        first.select("kind", F.lit(0).cast("bigint").alias("n"), "example"),
+        spark.createDataFrame([(k, 0, None) for k in kinds], "kind string, n bigint, example string"),
+    ]
+    return (
+        union_all(parts)
+        .groupBy("kind")
+        .agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("example")).alias("e"))
+        .select(
+            F.lit(check).alias("check_name"), F.lit("ERROR").alias("level"), F.col("kind").alias("code"), "n", F.array_join("e", ", ").alias("examples")
+        )
+    )
+
+
 def key_issues(df: DataFrame, column: str) -> DataFrame:
     """Missing, blank and padded identifiers; padding is refused, never trimmed."""
-    problem = key_problem(column)
-    return union_all(
-        [
-            offenders(df.where(problem == kind), F.concat(F.lit("["), F.col(column), F.lit("]")), column, kind)
-            for kind in ("missing", "blank", "padded")
-        ]
-    )
+    bad = df.select(key_problem(column).alias("kind"), F.concat(F.lit("["), F.col(column), F.lit("]")).alias("example"), F.lit(1).cast("bigint").alias("n"))
+    return offenders_by_kind(bad.where("kind is not null"), column, ("missing", "blank", "padded"))
 
 
 def duplicate_issues(df: DataFrame, column: str) -> DataFrame:
@@ -110,15 +129,10 @@ def duplicate_issues(df: DataFrame, column: str) -> DataFrame:
 
 def unique_key_issues(df: DataFrame, column: str) -> DataFrame:
     """All identifier rules over one grouping of the key column."""
-    keys = df.groupBy(column).agg(F.count("*").alias("copies"))
-    problem = F.coalesce(key_problem(column), F.when(F.col("copies") > 1, F.lit("duplicate")))
-    bad = keys.select(F.col(column).alias("key"), "copies", problem.alias("problem")).where("problem is not null")
-    return union_all(
-        [
-            offenders(bad.where(F.col("problem") == kind), "key", column, kind)
-            for kind in ("missing", "blank", "padded", "duplicate")
-        ]
-    )
+    keys = df.groupBy(F.col(column).alias("example")).agg(F.count("*").alias("copies"))
+    kind = F.coalesce(key_problem("example"), F.when(F.col("copies") > 1, F.lit("duplicate")))
+    bad = keys.select(kind.alias("kind"), "example", F.lit(1).cast("bigint").alias("n")).where("kind is not null")
+    return offenders_by_kind(bad, column, ("missing", "blank", "padded", "duplicate"))
 
 
 def matrix_issues(rows: DataFrame, header: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import SAMPLE_TYPE_LABELS, donor_id, draw_key, key_problem, valid_md5, valid_uuid
 from ..functions.numeric import is_finite
-from ..session import materialize
+from ..session import materialize, small_side
 from ..sources.matrix import ExpressionMatrix
 from .checks import counted, require_columns, union_all, unique_key_issues
 from .ranking import hash_rank
@@ -200,15 +200,20 @@ def sample_per_site(phenotype: DataFrame, n_per_site: int, min_site_n: int, seed
 
 
 def class_cap(df: DataFrame, ratio: int = 2, group: str = "project", label: str = "label", key: str = "sample", seed: int = 0) -> DataFrame:
-    """Per type, tumors (label 1) capped at ``ratio`` times the normals."""
-    ranked = hash_rank(df, key, seed, [group, label])
-    normals = df.where(F.col(label) == 0).groupBy(group).agg(F.count("*").alias("n_normal"))
-    # One row per cancer type.
-    return (
-        ranked.join(normals, group, "left")
-        .where((F.col(label) == 0) | (F.col("draw_rank") <= ratio * F.coalesce("n_normal", F.lit(0))))
-        .select(*df.columns)
+    """Per type, tumors (label 1) capped at ``ratio`` times the normals.
+
+    Only keys are ranked; whole rows are filtered in place, without a shuffle.
+    """
+    narrow = df.select(group, label, key)
+    ranked = hash_rank(narrow.where(F.col(label) == 1), key, seed, [group])
+    normals = narrow.where(F.col(label) == 0).groupBy(group).agg(F.count("*").alias("n_normal"))
+    # One row per cancer type: the last tumor that still fits.
+    cut = ranked.join(normals, group).where(F.col("draw_rank") <= ratio * F.col("n_normal")).groupBy(group).agg(
+        F.max(F.struct(F.col("draw_key").alias("k"), F.col(key).cast("string").alias("i"))).alias("cut")
     )
+    own = F.struct(draw_key(seed, key).alias("k"), F.col(key).cast("string").alias("i"))
+    fits = (F.col(label) == 0) | F.coalesce(own <= F.col("cut"), F.lit(False))
+    return df.join(small_side(cut), group, "left").where(fits).select(*df.columns)
 
 
 def expressed_genes(cells: DataFrame, min_tpm: float = 1.0, min_fraction: float = 0.2, gene: str = "gene_id", tpm: str = "tpm") -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.numeric import (
     softmax,
     string_array,
 )
+from ..session import small_side
 from ..sources.matrix import ExpressionMatrix
 from .align import Aligned, align, alignment_issues, alignment_report, gene_match_issues, worst_invalid
 from .model import LinearModel, require_tumor_model
@@ -178,7 +179,7 @@ def model_dot(long: DataFrame, genes: DataFrame, coef: DataFrame) -> DataFrame:
     """
     weights = coef.join(genes.select("pos", "mean", "scale"), "pos")
     return (
-        long.join(F.broadcast(weights), "pos")
+        long.join(small_side(weights), "pos")
         .groupBy("sample", "class_idx")
         .agg(F.sum(F.coalesce((F.col("value") - F.col("mean")) / F.col("scale") * F.col("coef"), F.lit(0.0))).alias("dot"))
     )

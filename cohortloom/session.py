@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Rows a side may have to be sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,3 +44,15 @@ def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> Da
         writer = writer.partitionBy(by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcast side if it proves small, else as it is.
+
+    Meant for gene axes and models: at most ``max_rows + 1`` rows are fetched to
+    find out, and a larger side is left to a shuffled join.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

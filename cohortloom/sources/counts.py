@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.numeric import decode_log2_tpm001, log2_tpm1, to_number
 from ..operators.align import drop_all_missing_genes, repeated_cells, select_genes
 from ..operators.checks import counted, offenders, require, union_all
+from ..session import materialize
 from .matrix import ExpressionMatrix, gene_row_cells, matrix_from_long
 
 
@@ -47,17 +48,10 @@ def count_file_lines(spark: SparkSession, path: str, file_id: str = FILE_NAME) -
 
 def count_issues(cells: DataFrame) -> DataFrame:
     """Bad TPM values and two rows of one file on the same model gene."""
-    value = to_number("tpm_text")
     return union_all(
         [
-            counted(
-                cells,
-                {
-                    ("count_files", "ERROR", "non_numeric_tpm"): value.isNull(),
-                    ("count_files", "ERROR", "negative_tpm"): F.coalesce(value < 0, F.lit(False)),
-                },
-            ),
-            offenders(repeated_cells(cells, "file_id", "target"), F.concat_ws(":", "file_id", "target"), "count_files", "repeated_gene"),
+            counted(cells, {("count_files", "ERROR", "non_numeric_tpm"): F.col("bad") > 0, ("count_files", "ERROR", "negative_tpm"): F.col("low") < 0}),
+            offenders(cells.where("copies > 1"), F.concat_ws(":", "file_id", "target"), "count_files", "repeated_gene"),
         ]
     )
 
@@ -65,12 +59,17 @@ def count_issues(cells: DataFrame) -> DataFrame:
 def read_count_files(spark: SparkSession, path: str, genes: Sequence[str], file_id: str = FILE_NAME) -> DataFrame:
     """``file_id, gene_id, value`` with value = log2(tpm+1), model genes only.
 
-    Rows of other genes are dropped against the broadcast gene list before any
-    shuffle.
+    The text is read once: rows of other genes go before the shuffle, and what is
+    left is written to the shared folder, checked there and handed on.
     """
     cells = select_genes(count_file_lines(spark, path, file_id), genes_frame(spark, genes))
+    value = to_number("tpm_text")
+    cells = cells.groupBy("file_id", "target").agg(
+        F.count("*").alias("copies"), F.count_if(value.isNull()).alias("bad"), F.min(value).alias("low"), F.max(value).alias("tpm")
+    )
+    cells = materialize(cells, "count-cells")
     require(count_issues(cells), path)
-    return cells.select("file_id", F.col("target").alias("gene_id"), log2_tpm1(to_number("tpm_text")).alias("value"))
+    return cells.select("file_id", F.col("target").alias("gene_id"), log2_tpm1("tpm").alias("value"))
 
 
 def files_to_matrix(cells: DataFrame, genes: Sequence[str], sample: str = "file_id") -> ExpressionMatrix:
@@ -112,6 +111,7 @@ def read_gene_by_sample(spark: SparkSession, path: str, genes: Sequence[str], sa
     cells = select_genes(gene_row_cells(spark, path, sep, wanted), wanted)
     if samples is not None:
         cells = cells.join(samples.select("sample").distinct(), "sample", "left_semi")
+    cells = materialize(cells, "gene-row-cells")
     require(gene_row_issues(cells, samples), path)
     return cells.select("sample", F.col("target").alias("gene_id"), decode_log2_tpm001(to_number("cell")).alias("value"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.ids import strip_version
 from ..functions.numeric import finite_or_null, gather, int_array, let, to_number
+from ..session import small_side
 from ..operators.checks import offenders, require, union_all, unique_key_issues
 
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
@@ -149,9 +150,14 @@ def _read_delimited(spark: SparkSession, path: str, sep: str, index_col: int | s
     _require_header(axis, header[at], path)
     # The CSV source drops each part's first line and hands over the others whole.
     lines = spark.read.csv(path, schema="line string", sep=_WHOLE_LINE, quote="", header=True)
-    fields = lines.select(split_fields(F.regexp_replace("line", "\r$", ""), sep).alias("f"))
+    lines = lines.select(F.regexp_replace("line", "\r$", "").alias("line"))
+    fields = lines.select("line", split_fields(F.col("line"), sep).alias("f"))
+    sample = F.get("f", F.lit(at))
+    if at == 0:
+        # Checks that need only the id do not take the line apart.
+        sample = F.when(F.col("line").contains('"'), sample).otherwise(F.substring_index("line", sep, 1))
     cells = F.slice("f", 2, len(axis)) if at == 0 else gather("f", [i for i in range(len(header)) if i != at])
-    return ExpressionMatrix(fields.select(F.get("f", F.lit(at)).alias("sample"), cells.alias("cells")), tuple(axis))
+    return ExpressionMatrix(fields.select(sample.alias("sample"), cells.alias("cells")), tuple(axis))
 
 
 def _index_position(header: Sequence[str], index_col: int | str, path: str) -> int:
@@ -188,7 +194,7 @@ def gene_row_cells(spark: SparkSession, path: str, sep: str = "\t", genes: DataF
     if genes is not None:
         # The id field ends at the first separator; no full split for unwanted rows.
         lines = lines.withColumn("gene_id", F.substring_index("line", sep, 1)).join(
-            F.broadcast(genes.select(strip_version("gene_id").alias("base")).distinct()),
+            small_side(genes.select(strip_version("gene_id").alias("base")).distinct()),
             strip_version("gene_id") == F.col("base"),
             "left_semi",
         )
