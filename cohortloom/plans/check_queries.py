@@ -365,6 +365,18 @@ def check_output_contract_gene_metadata(spark, sf):
     return checks.contract_issues(gene_metadata(t.genes, t.coef, names), "gene_metadata")
 
 
+@query(
+    issues_sql(
+        """select 'explanations' as check_name, 'column_contract_mismatch' as code, 0 as n, '' as examples
+ union all select 'explanations', c, 0, '' from (select unnest(['non_numeric_probability','probability_out_of_range','invalid_explanation_direction','invalid_explanation_rank']) as c)"""
+    )
+)
+def check_output_contract_explanations(spark, sf):
+    from ..operators.explain import explain
+
+    return checks.contract_issues(explain(fx.binary_model(spark, sf), fx.expression(spark, sf), 3), "explanations")
+
+
 @query(
     fx.with_views(
         fx.NORMALS,

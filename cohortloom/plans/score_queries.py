@@ -505,7 +505,32 @@ def inspect_shifted(spark, sf):
     return rounded(qc.report_frame(spark, {"input": r})).drop("report_json")
 
 
-@query()
+def _cohort_report(cohort: str, z: str, matched: int, status: str, codes: str) -> str:
+    """Report row of one cohort from its z view (sample, pos, raw, z)."""
+    return f"""select '{cohort}' as cohort, '{status}' as status, count(distinct sample) as samples, {matched} as matched_model_genes, round({matched}/64.0,6) as match_rate, count(raw) as finite_model_gene_values,
+ round(1-count(raw)/cast(count(*) as double),6) as nonfinite_or_missing_fraction, round(count(*) filter (where raw < -1e-9)/cast(count(raw) as double),6) as negative_fraction,
+ round(quantile_cont(raw,0.5),6) as value_p50, round(quantile_cont(raw,0.99),6) as value_p99, round(max(raw),6) as value_max,
+ (select round(quantile_cont(m,0.5),6) from (select quantile_cont(abs(z),0.5) as m from {z} group by sample)) as sample_median_abs_z_p50,
+ (select round(quantile_cont(m,0.5),6) from (select quantile_cont(abs(z),0.95) as m from {z} group by sample)) as sample_p95_abs_z_p50,
+ (select round(quantile_cont(m,0.99),6) from (select abs(avg(z)) as m from {z} group by pos)) as gene_mean_abs_z_p99, (select round(max(m),6) from (select abs(avg(z)) as m from {z} group by pos)) as gene_mean_abs_z_max,
+ round(avg(case when abs(z)>6 then 1.0 else 0.0 end),6) as abs_z_gt_6_fraction, round(avg(case when abs(z)>10 then 1.0 else 0.0 end),6) as abs_z_gt_10_fraction,
+ (select count(*) from (select sum(z*coef) as l from {z} group by sample) where l>=0) as tumor_calls, (select count(*) from (select sum(z*coef) as l from {z} group by sample) where l<0) as normal_calls,
+ (select round(quantile_cont(1/(1+exp(-l)),0.5),6) from (select sum(z*coef) as l from {z} group by sample)) as tumor_probability_p50, '{codes}' as message_codes from {z}"""
+
+
+LOW = "low_model_gene_match,nonfinite_or_missing_values"
+
+
+@query(
+    fx.with_views(
+        *BINARY, fx.DEGRADED,
+        "z_clean as (select sample, pos, value as raw, (value-mean)/scale as z, coef from expression join (select pos, mean, scale, coef from model) using (pos))",
+        "z_degraded as (select 'x'||s.sample as sample, m.pos, d.value as raw, (coalesce(d.value,mean)-mean)/scale as z, coef from (select distinct sample from expression) s cross join model m left join degraded d on d.sample=s.sample and d.pos=m.pos)",
+        "z_both as (select * from z_clean union all select * from z_degraded)",
+        body=_cohort_report("clean", "z_clean", 64, "PASS", "") + " union all " + _cohort_report("degraded", "z_degraded", 55, "WARN", LOW)
+        + " union all " + _cohort_report("compatible_combined", "z_both", 64, "WARN", "nonfinite_or_missing_values"),
+    )
+)
 def qc_reference(spark, sf):
     """Reports of two cohorts with different genes, and of their union."""
     m = fx.binary_model(spark, sf)
