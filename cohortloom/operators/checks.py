@@ -314,7 +314,7 @@ def score_consistency(left: DataFrame, right: DataFrame, tolerance: float = 1e-6
 
 def missing_names(wanted: DataFrame, have: DataFrame, column: str) -> DataFrame:
     """Names asked for and not there."""
-    return wanted.select(column).distinct().join(have.select(column), column, "left_anti")
+    return wanted.select(column).distinct().join(have.select(column).distinct(), column, "left_anti")
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], context: str) -> None:

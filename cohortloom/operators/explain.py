@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import strip_version
 from ..functions.numeric import array_sum, direction_if_high, double_array, is_finite, sigmoid, string_array
+from ..session import small_side
 from ..sources.matrix import ExpressionMatrix
 from .align import Aligned, align
 from .checks import CONTRACTS, gene_metadata_issues, require
@@ -89,9 +90,10 @@ def gene_name_keys(metadata: DataFrame) -> DataFrame:
 def attach_gene_names(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Name by id, else by version-free id, else empty. ``names(key, gene_name)``.
 
-    ``names`` is a gene annotation: one row per known gene, so AQE broadcasts it
-    when small and shuffles otherwise.
+    ``names`` is a gene annotation with two rows per known gene. A gene that leads
+    in most samples must not meet them in one task, so names go to the rows.
     """
+    names = small_side(names)
     by_id = names.select(F.col("key").alias("gene_id"), F.col("gene_name").alias("name_by_id"))
     by_base = names.select(F.col("key").alias("gene_base"), F.col("gene_name").alias("name_by_base"))
     return (

@@ -29,7 +29,7 @@ def leakage_issues(train: DataFrame, test: DataFrame, groups: Sequence[str]) ->
     return union_all(
         [
             offenders(
-                test.select(g).distinct().join(train.select(g), g, "left_semi"), g, g, "leakage"
+                test.select(g).distinct().join(train.select(g).distinct(), g, "left_semi"), g, g, "leakage"
             )
             for g in groups
         ]

@@ -43,7 +43,7 @@ from .score import binary_scores, score_aligned
 from .splits import dependency_issues, grouped_stratified_folds, loco_splits, with_folds
 
 MAX_ITER = 5000
-TOLERANCE = 1e-8
+TOLERANCE = 1e-7
 PARALLEL_FITS = 4
 
 

@@ -12,7 +12,7 @@ from ..functions.numeric import check_fraction
 from ..session import materialize
 from ..sources.matrix import ExpressionMatrix
 from ..sources.tables import write_report_json, write_table
-from .align import align, alignment_issues, alignment_report
+from .align import align, alignment_issues, alignment_report, worst_invalid
 from .calibrate import calibrate
 from .explain import attach_gene_names, gene_name_keys, top_contributions
 from .checks import CONTRACTS, gene_metadata_issues, require
@@ -80,9 +80,12 @@ def run_workflow(
     if qc["status"] == "FAIL" and not allow_qc_fail:
         return finish("stopped_after_qc_fail")
 
-    report = alignment_report(a)
-    invalid = alignment_issues(report, max_invalid_fraction).collect()
-    facts["invalid_matched_cells"] = report.head()["invalid_matched_cells"]
+    facts["invalid_matched_cells"] = 0
+    invalid = []
+    if worst_invalid(a):
+        report = materialize(alignment_report(a), "alignment-report")
+        facts["invalid_matched_cells"] = report.head()["invalid_matched_cells"]
+        invalid = alignment_issues(report, max_invalid_fraction).collect()
     if invalid and not allow_invalid:
         return finish("stopped_after_invalid_input", error="; ".join(r["message"] for r in invalid))
 
