@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
+from .rows import kept_once
 
 _COLUMNS = "digest binary, keep_id bigint, keep_row bigint"
 
@@ -96,18 +97,8 @@ def _verdicts(docs: DataFrame, path: str | None, batches: int) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, path: str | None = None, batches: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Dropped rows are looked up by id and digest. Where rows repeat both, all but one
-    of them go by a grouping of those rows alone.
-    """
+    """The rows of ``docs`` that stay, with all their columns."""
     found = materialize(_verdicts(docs, path, batches).select("doc_id", "digest", "kept"), "verdicts")
     marks = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("kept")
-    marks = materialize(marks, "kept").select(F.col("doc_id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest"), "n")
-    keyed = docs.withColumn("__dedup_key", digest(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__dedup_id")) & (F.col("__dedup_key") == F.col("__dedup_digest"))
-    once = keyed.join(marks.where("n = 1"), same, "left_semi")
-    if marks.where("n > 1").limit(1).count():
-        repeated = keyed.join(marks.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__dedup_key"])
-        once = once.unionByName(repeated)
-    return once.select(*[f"`{c}`" for c in docs.columns])
+    marks = materialize(marks.select("doc_id", F.col("digest").alias("key"), "n"), "kept")
+    return kept_once(docs, digest(F.col("text")), marks)
