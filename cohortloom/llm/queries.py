@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, packing, simhash, token_counts, token_files
+from . import exact_dedup, mixing, packing, simhash, token_counts, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -62,6 +62,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+@query()
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mixing.taken(documents(spark, sf_dir))
+
+
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 1024 tokens."""
