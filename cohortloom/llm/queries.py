@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, mixing, packing, simhash, token_counts, token_files
+from . import exact_dedup, language, mixing, packing, simhash, token_counts, token_files, vptree
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -62,6 +62,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+@query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by compression."""
+    return language.identify(documents(spark, sf_dir))
+
+
+@query()
+def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vptree.nearest(embeddings, F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
