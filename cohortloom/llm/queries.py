@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language, mixing, packing, simhash, token_counts, token_files, vptree
+from . import exact_dedup, language, mixing, packing, pii, secret_scan, simhash, token_counts, token_files, vptree
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -68,6 +68,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+@query()
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
+@query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
+
+
 @query()
 def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth one."""
