@@ -14,17 +14,22 @@ NORMAL_ROLES = ("0", "0.0", "false", "normal", "healthy", "negative", "neg")
 SAMPLE_TYPE_LABELS = {"Primary Tumor": 1, "Solid Tissue Normal": 0}
 
 
+# An id with a version, and an id that names a gene; for Column expressions and names alike.
+VERSIONED = r"^(.+)\.[0-9]+$"
+GENE_ID = r"^ENSG[0-9]+(\.[0-9]+)?$"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip_version(c: Column | str) -> Column:
     """Drop one trailing all-digit ``.N``; other dots are part of the id."""
-    return F.regexp_replace(_col(c), r"^(.+)\.[0-9]+$", "$1")
+    return F.regexp_replace(_col(c), VERSIONED, "$1")
 
 
 def looks_like_gene(c: Column | str) -> Column:
-    return _col(c).rlike(r"^ENSG[0-9]+(\.[0-9]+)?$")
+    return _col(c).rlike(GENE_ID)
 
 
 def donor_id(c: Column | str) -> Column:
@@ -46,7 +51,8 @@ def normalize_label(c: Column | str) -> Column:
     """0/1 class of a label text; null when the spelling is unknown."""
     c = _col(c)
     text = F.lower(F.trim(c.cast("string")))
-    number = text.try_cast("double")
+    # Texts are classes by their spelling alone; only numbers count by value.
+    number = F.when(F.typeof(c) != "string", text.try_cast("double"))
     return (
         F.when(text.isin(*TUMOR_LABELS) | (number == 1), F.lit(1))
         .when(text.isin(*NORMAL_LABELS) | (number == 0), F.lit(0))

@@ -52,6 +52,12 @@ def to_number(c: Column | str) -> Column:
     return finite_or_null(F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double")))
 
 
+def as_number(c: Column | str) -> Column:
+    """A number as double; a text only if it spells one plainly."""
+    c = _col(c)
+    return F.when(F.typeof(c) == "string", to_number(c.cast("string"))).otherwise(c.try_cast("double"))
+
+
 def sigmoid(c: Column | str) -> Column:
     """Logistic function in the branch that cannot overflow."""
     c = _col(c)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.ids import key_problem, normalize_label
-from ..functions.numeric import is_finite
+from ..functions.numeric import as_number, is_finite
 
 EXAMPLES = 5
 
@@ -173,7 +173,7 @@ def gene_metadata_issues(df: DataFrame) -> DataFrame:
 
 
 def probability_issues(df: DataFrame, column: str, check: str | None = None) -> DataFrame:
-    p = F.col(column).try_cast("double")
+    p = as_number(column)
     finite = is_finite(p)
     return counted(
         df,
@@ -186,11 +186,11 @@ def probability_issues(df: DataFrame, column: str, check: str | None = None) ->
 
 def metric_input_issues(df: DataFrame, label: str, score: str, both_classes: bool = False) -> DataFrame:
     """Labels 0/1, finite scores, at least one row, both classes on request."""
-    y = F.col(label).try_cast("double")
+    y = as_number(label)
     totals = df.agg(
         F.count("*").alias("n"),
         F.count_if(~F.coalesce((y == 0) | (y == 1), F.lit(False))).alias("bad_label"),
-        F.count_if(~is_finite(F.col(score).try_cast("double"))).alias("bad_score"),
+        F.count_if(~is_finite(as_number(score))).alias("bad_score"),
         F.count_if(y == 1).alias("pos"),
         F.count_if(y == 0).alias("neg"),
     )

@@ -271,15 +271,6 @@ def write_report_json(spark, sf):
     return spark.read.text(path).select(F.get_json_object("value", "$.lang").alias("lang"), F.col("value").alias("report_json"))
 
 
-@query()
-def input_snapshot(spark, sf):
-    """SHA-256 of every input file, and that a second look finds no change."""
-    names = ("orders", "lineitem", "embeddings", "documents", "events", "customer", "labels")
-    first = tables.input_snapshot(spark, [f"{sf}/{n}.parquet" for n in names])
-    changed = tables.snapshot_changes(first, tables.input_snapshot(spark, [f"{sf}/{n}.parquet" for n in names])).select("path", F.lit(1).alias("changed"))
-    return first.join(changed, "path", "left").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes", "fingerprint", F.coalesce("changed", F.lit(0)).alias("changed"))
-
-
 EXPORT_SQL = fx.with_views(
     fx.EXPRESSION,
     body="""select sample, count(*) as n_genes, round(sum(value),6) as sum64, round(sum(cast(cast(value as float) as double)),6) as sum32 from expression group by sample""",

@@ -14,12 +14,14 @@ BROADCAST_ROWS = 200_000
 def scratch_root(spark: SparkSession) -> str:
     """Shared scratch folder: the session's ``spark.checkpoint.dir``.
 
-    A cluster names a folder every executor can reach. Only where nothing is
-    set (tests, a laptop) is a fresh local folder made and registered.
+    A cluster names a folder every executor can reach. Only a local master may
+    leave it out (tests, a laptop): a fresh local folder is made and registered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

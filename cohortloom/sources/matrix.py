@@ -8,13 +8,14 @@ made, so 60,000 gene columns cost no more planning than 60.
 from __future__ import annotations
 
 import csv
+import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.ids import strip_version
+from ..functions.ids import GENE_ID, strip_version
 from ..functions.numeric import finite_or_null, gather, int_array, let, to_number
 from ..session import small_side
 from ..operators.checks import offenders, require, union_all, unique_key_issues
@@ -68,7 +69,7 @@ def header_issues(genes: Sequence[str], id_name: str | None = None) -> list[str]
     repeated = sorted(g for g, n in Counter(g.strip() for g in genes if g).items() if n > 1)
     if repeated:
         issues.append("duplicate gene columns: " + ", ".join(repeated[:5]))
-    if id_name is not None and _gene_like(id_name):
+    if id_name is not None and re.match(GENE_ID, id_name.strip()):
         issues.append("the first column looks like a gene, not a sample identifier; is the matrix transposed?")
     return issues
 
@@ -81,17 +82,11 @@ def header_problems(header: DataFrame) -> DataFrame:
         [
             offenders(trimmed.where("gene_id = '' or gene_id is null"), "pos", "header", "blank_gene"),
             offenders(repeated, "gene_id", "header", "duplicate_gene"),
-            offenders(header.where("pos = 0").where(F.col("gene_id").rlike(r"^ENSG[0-9]+(\.[0-9]+)?$")), "gene_id", "header", "gene_like_id_column"),
+            offenders(header.where("pos = 0").where(F.col("gene_id").rlike(GENE_ID)), "gene_id", "header", "gene_like_id_column"),
         ]
     )
 
 
-def _gene_like(name: str) -> bool:
-    base, _, version = name.strip().rpartition(".")
-    base = base if base and version.isdigit() else name.strip()
-    return base.startswith("ENSG") and base[4:].isdigit()
-
-
 def _require_header(genes: Sequence[str], id_name: str | None, path: str) -> None:
     issues = header_issues(genes, id_name)
     if issues:
@@ -148,8 +143,9 @@ def _read_delimited(spark: SparkSession, path: str, sep: str, index_col: int | s
     at = _index_position(header, index_col, path)
     axis = [h for i, h in enumerate(header) if i != at]
     _require_header(axis, header[at], path)
-    # The CSV source drops each part's first line and hands over the others whole.
-    lines = spark.read.csv(path, schema="line string", sep=_WHOLE_LINE, quote="", header=True)
+    # The CSV source compares each part's first line with the header and hands over the others whole.
+    schema = T.StructType([T.StructField(first[0].rstrip("\r"), T.StringType())])
+    lines = spark.read.csv(path, schema=schema, sep=_WHOLE_LINE, quote="", header=True, enforceSchema=False).toDF("line")
     lines = lines.select(F.regexp_replace("line", "\r$", "").alias("line"))
     fields = lines.select("line", split_fields(F.col("line"), sep).alias("f"))
     sample = F.get("f", F.lit(at))
@@ -157,6 +153,8 @@ def _read_delimited(spark: SparkSession, path: str, sep: str, index_col: int | s
         # Checks that need only the id do not take the line apart.
         sample = F.when(F.col("line").contains('"'), sample).otherwise(F.substring_index("line", sep, 1))
     cells = F.slice("f", 2, len(axis)) if at == 0 else gather("f", [i for i in range(len(header)) if i != at])
+    odd = F.raise_error(F.concat(F.lit(f"expression matrix {path}: the header has {len(header)} fields, a row "), F.size("f").cast("string")))
+    cells = F.when(F.size("f") != len(header), odd).otherwise(cells)
     return ExpressionMatrix(fields.select(sample.alias("sample"), cells.alias("cells")), tuple(axis))
 
 

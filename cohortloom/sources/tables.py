@@ -10,15 +10,14 @@ from ..functions.numeric import finite_or_null
 from ..operators.checks import require_columns
 
 PHENOTYPE_COLUMNS = ("sample", "_study", "_sample_type", "_primary_site")
-# Content is hashed up to this size; larger files are compared by size and time.
-HASH_LIMIT = 256 << 20
 
 
 def read_table(spark: SparkSession, path: str, string_columns: Sequence[str] = (), sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """CSV with a clean header. Named columns and all other text stay text.
 
     ``NA`` and leading zeros survive: only columns that are numbers throughout,
-    and are not named, become numbers.
+    and are not named, become numbers. Every part must have the same header and all
+    rows its width; reading refuses others.
     """
     raw = spark.read.option("encoding", encoding).csv(path, header=False, sep=sep, quote='"', escape='"', inferSchema=False, nullValue="\u0000", emptyValue="").limit(1)
     first = raw.head()
@@ -32,9 +31,10 @@ def read_table(spark: SparkSession, path: str, string_columns: Sequence[str] = (
         raise ValueError(f"table {path} has a padded column name")
     if len(set(names)) != len(names):
         raise ValueError(f"table {path} has a column name twice")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    text = spark.read.option("encoding", encoding).schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', nullValue="\u0000", emptyValue="", enforceSchema=True)
-    text = text.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    schema = T.StructType([T.StructField(n or "", T.StringType()) for n in first])
+    reader = spark.read.option("encoding", encoding).option("columnPruning", False).schema(schema)
+    text = reader.csv(path, header=True, sep=sep, quote='"', escape='"', nullValue="\u0000", emptyValue="", enforceSchema=False, mode="FAILFAST")
+    text = text.toDF(*names).select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
     free = [n for n in names if n not in string_columns]
     if not free:
         return text
@@ -86,16 +86,16 @@ def write_report_json(df: DataFrame, path: str) -> str:
     return path
 
 
-def input_snapshot(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Path, size and SHA-256 of every consumed file.
+def input_snapshot(spark: SparkSession, paths: Sequence[str], mode: str = "content") -> DataFrame:
+    """Path, size and fingerprint of every consumed file, the same kind for all.
 
-    Files beyond ``HASH_LIMIT`` are too large for one binary value; they are
-    pinned by size and modification time.
+    ``content`` hashes with SHA-256 and refuses a file that Spark cannot hold as one
+    binary value; ``stat`` pins files by modification time and size.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    small = listed.where(F.col("length") <= HASH_LIMIT).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("fingerprint"))
-    large = listed.where(F.col("length") > HASH_LIMIT).select("path", F.col("length").alias("bytes"), F.concat(F.lit("mtime:"), F.col("modificationTime").cast("string")).alias("fingerprint"))
-    return small.unionByName(large)
+    stat = F.concat(F.lit("stat:"), F.col("modificationTime").cast("string"), F.lit(":"), F.col("length").cast("string"))
+    fingerprint = {"content": F.sha2("content", 256), "stat": stat}[mode]
+    return listed.select("path", F.col("length").alias("bytes"), fingerprint.alias("fingerprint"))
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:

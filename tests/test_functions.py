@@ -27,8 +27,16 @@ def test_donor_id(spark):
 
 
 def test_normalize_label(spark):
-    given = [" Tumor", "PRIMARY TUMOR", "1", "normal", "Solid Tissue Normal", "0", "1.0", "maybe", "", None]
-    assert values(spark, ids.normalize_label("v"), given) == [1, 1, 1, 0, 0, 0, 1, None, None, None]
+    given = [" Tumor", "PRIMARY TUMOR", "1", "normal", "Solid Tissue Normal", "0", "maybe", "", None]
+    assert values(spark, ids.normalize_label("v"), given) == [1, 1, 1, 0, 0, 0, None, None, None]
+    # Texts count by spelling alone, numbers by value.
+    assert values(spark, ids.normalize_label("v"), ["1.0", "1d", "1f", "0d", "01", "1e0"]) == [None] * 6
+    assert values(spark, ids.normalize_label("v"), [1.0, 0.0, 0.5], "v double") == [1, 0, None]
+
+
+def test_as_number(spark):
+    assert values(spark, numeric.as_number("v"), ["0.5", "0.5d", "1f", " 1 ", None]) == [0.5, None, None, 1.0, None]
+    assert values(spark, numeric.as_number("v"), [0.5, 2.0], "v double") == [0.5, 2.0]
 
 
 def test_uuid_and_md5(spark):

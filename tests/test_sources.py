@@ -244,3 +244,31 @@ def test_features(spark, matrix, tmp_path):
 def test_expression_long_of_text(matrix):
     m = matrix(["g1"], {"a": ["x"], "b": ["2"]})
     assert m.long().where(F.col("value").isNotNull()).count() == 1
+
+
+@pytest.mark.parametrize("second", ["sample,g2,g1\nb,3,4\n", "b,3,4\n"])
+def test_parts_with_another_header_are_refused(spark, tmp_path, second):
+    """No part's first line is dropped unread, nor are its columns swapped."""
+    folder = tmp_path / "m.csv"
+    folder.mkdir()
+    put(folder / "a.csv", "sample,g1,g2\na,1,2\n")
+    put(folder / "b.csv", second)
+    with pytest.raises(Exception, match="(?i)header"):
+        mx.read_matrix(spark, str(folder)).rows.collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_table(spark, str(folder), ["sample", "g1", "g2"]).collect()
+
+
+@pytest.mark.parametrize("row", ["a,1", "a,1,2,99"])
+def test_rows_of_another_width_are_refused(spark, tmp_path, row):
+    p = put(tmp_path / "m.csv", f"sample,g1,g2\n{row}\n")
+    with pytest.raises(Exception, match="fields"):
+        mx.read_matrix(spark, p).rows.collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_table(spark, p, ["sample", "g1", "g2"]).collect()
+
+
+def test_snapshot_modes(spark, tmp_path):
+    put(tmp_path / "x.csv", "a\n")
+    kinds = {m: tables.input_snapshot(spark, [str(tmp_path)], m).first().fingerprint for m in ("content", "stat")}
+    assert len(kinds["content"]) == 64 and kinds["stat"].startswith("stat:")
