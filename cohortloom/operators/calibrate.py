@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import normalize_label
 from ..functions.numeric import check_fraction
+from ..session import materialize
 from .checks import CONTRACTS, label_issues, probability_issues, require, require_columns, unique_key_issues
-from .metrics import rates, threshold_sweep, with_rates
+from .metrics import histogram_sweep, rates, with_rates
 from .ranking import auc_column, score_histogram, running_sums, youden_counts
 
 SMALL_CLASS = 10
@@ -62,7 +63,13 @@ def attach_labels(scores: DataFrame, labels: DataFrame | None, min_match_fractio
 
 
 def reindex_labels(samples: DataFrame, labels: DataFrame, sample: str = "sample", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """Labels for every sample (null where absent) and the match statistics."""
+    """Labels for every sample (null where absent) and the match statistics.
+
+    Repeated or blank ids on either side and labels of unknown spelling are refused.
+    """
+    require_columns(labels, [sample, label], "labels")
+    require(unique_key_issues(labels, sample).unionByName(label_issues(labels, label)), "labels")
+    require(unique_key_issues(samples, sample), "samples")
     own = labels.select(sample, normalize_label(label).alias("label_binary"))
     stats = label_match(samples, labels, sample).select(
         "n_labels", F.col("n_matched").alias("n_labeled"), F.col("n_unmatched").alias("n_unmatched_samples"), F.col("n_extra").alias("n_extra_labels")
@@ -72,17 +79,25 @@ def reindex_labels(samples: DataFrame, labels: DataFrame, sample: str = "sample"
 
 def threshold_table(labelled: DataFrame, default: float = 0.5, extra: Sequence[float] = (), label: str = "label_binary", score: str = "tumor_probability") -> DataFrame:
     """Rows ``default``, ``youden_j`` and one per extra threshold."""
+    return _thresholds(score_histogram(labelled, label, score), default, extra)
+
+
+def _thresholds(hist: DataFrame, default: float, extra: Sequence[float]) -> DataFrame:
     named = [("default", check_fraction(default))] + [(f"threshold_{check_fraction(t):g}", t) for t in extra]
     columns = [c for c in CONTRACTS["thresholds"] if c != "youden_j"]
-    fixed = threshold_sweep(labelled, named, label, score).select(*columns, F.lit(None).cast("double").alias("youden_j"))
-    ranks = running_sums(score_histogram(labelled, label, score), [], "score", ["pos", "neg"])
+    fixed = histogram_sweep(hist, named).select(*columns, F.lit(None).cast("double").alias("youden_j"))
+    ranks = running_sums(hist, [], "score", ["pos", "neg"])
     best = with_rates(youden_counts(ranks), ["accuracy", "f1", "precision", "recall", "specificity"])
     return fixed.unionByName(best.select(F.lit("youden_j").alias("threshold_name"), *columns[1:], "youden_j"))
 
 
 def calibration_summary(labelled: DataFrame, label: str = "label_binary", score: str = "tumor_probability", small_class: int = SMALL_CLASS) -> DataFrame:
     """One row: class counts, AUC, recommended cutoff, small-class warning."""
-    ranks = running_sums(score_histogram(labelled, label, score), [], "score", ["pos", "neg"])
+    return _summary(score_histogram(labelled, label, score), small_class)
+
+
+def _summary(hist: DataFrame, small_class: int) -> DataFrame:
+    ranks = running_sums(hist, [], "score", ["pos", "neg"])
     auc = ranks.agg(auc_column().alias("auc"))
     best = youden_counts(ranks).withColumn("accuracy", rates()["accuracy"]).withColumn("recall", rates()["recall"]).withColumn("specificity", rates()["specificity"])
     merged = auc.unionByName(best, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("auc", "threshold", "tn", "fp", "fn", "tp", "accuracy", "recall", "specificity")])
@@ -108,6 +123,7 @@ def calibration_summary(labelled: DataFrame, label: str = "label_binary", score:
 
 
 def calibrate(scores: DataFrame, labels: DataFrame | None, extra: Sequence[float] = (), default: float = 0.5, min_match_fraction: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Threshold table and summary of labelled scores."""
+    """Threshold table and summary of labelled scores, from one histogram."""
     labelled = attach_labels(scores, labels, min_match_fraction)
-    return threshold_table(labelled, default, extra), calibration_summary(labelled)
+    hist = materialize(score_histogram(labelled, "label_binary", "tumor_probability"), "score-histogram")
+    return _thresholds(hist, default, extra), _summary(hist, SMALL_CLASS)

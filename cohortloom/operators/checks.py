@@ -35,6 +35,9 @@ CONTRACTS = {
     ),
 }
 
+# Columns of the thresholds table that may be empty but hold shares otherwise.
+THRESHOLD_NUMBERS = ("threshold", "accuracy", "f1", "precision", "recall", "specificity", "youden_j")
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -239,7 +242,7 @@ def contract_issues(df: DataFrame, contract: str) -> DataFrame:
     rules: dict[tuple[str, str, str], Column] = {}
 
     def number(c):
-        return F.col(c).try_cast("double")
+        return as_number(c)
 
     if contract in ("scores", "labels") and "sample" in have:
         parts.append(unique_key_issues(df, "sample"))
@@ -256,6 +259,11 @@ def contract_issues(df: DataFrame, contract: str) -> DataFrame:
             if c in have:
                 rules[f"{contract}.{c}", "ERROR", "non_numeric_count"] = number(c).isNull()
                 rules[f"{contract}.{c}", "ERROR", "negative_count"] = number(c) < 0
+        for c in THRESHOLD_NUMBERS:
+            if c in have:
+                given = F.col(c).isNotNull() & ~F.coalesce(F.isnan(number(c)), F.lit(False))
+                rules[f"{contract}.{c}", "ERROR", "non_numeric_metric"] = given & number(c).isNull()
+                rules[f"{contract}.{c}", "ERROR", "metric_out_of_range"] = given & ~number(c).between(0, 1)
         if "threshold_name" in have:
             present = df.where(F.col("threshold_name").isin("default", "youden_j")).agg(
                 F.count_distinct("threshold_name").alias("k")

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import SAMPLE_TYPE_LABELS, donor_id, draw_key, key_problem, valid_md5, valid_uuid
-from ..functions.numeric import is_finite
+from ..functions.numeric import as_number, is_finite
 from ..session import materialize, small_side
 from ..sources.matrix import ExpressionMatrix
-from .checks import counted, require_columns, union_all, unique_key_issues
+from .checks import counted, require, require_columns, union_all, unique_key_issues
 from .ranking import hash_rank
 
 # Sample types allowed per study.
@@ -26,6 +26,9 @@ def type_label(sample_type: str = "sample_type") -> Column:
 
 # --- manifests -------------------------------------------------------------
 
+# What a draw settles itself: types that are no class are left out, a class may be absent elsewhere.
+DRAW_SETTLES = ("unsupported_sample_type", "single_class", "several_cases")
+
 
 def provider_manifest_issues(df: DataFrame, project: str | None = None, strict: bool = True) -> DataFrame:
     """Rules of a per-file manifest; one pass for the row rules, one for the key.
@@ -57,7 +60,7 @@ def provider_manifest_issues(df: DataFrame, project: str | None = None, strict:
     if "file_name" in have:
         rule("unclean_file_name", unclean("file_name"))
     if "file_size" in have:
-        size = F.col("file_size").cast("string").try_cast("double")
+        size = as_number("file_size")
         rule("invalid_file_size", ~(is_finite(size) & (size > 0) & (size == F.floor(size))))
     if "md5sum" in have:
         rule("invalid_md5", ~valid_md5("md5sum"))
@@ -136,7 +139,9 @@ def draw(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 def sample_per_class(df: DataFrame, n_per_class: int, seed: int, key: str = "file_id", biospecimen: str | None = "sample_submitter_id", donor: str = "case_submitter_id", sample_type: str = "sample_type", disjoint: bool = True) -> DataFrame:
     """Up to n donors per class, tumor side first; a donor serves one class.
 
-    Of several files per biospecimen, then per donor, the first by key counts.
+    Of several files per biospecimen, then per donor, the first by key counts. A
+    class without rows is an error. Each draw is written to the shared folder, so
+    the next class excludes what was drawn without drawing again.
     """
     if n_per_class <= 0:
         raise ValueError("n_per_class must be positive")
@@ -145,10 +150,27 @@ def sample_per_class(df: DataFrame, n_per_class: int, seed: int, key: str = "fil
         part = dedupe_first(df.where(F.col(sample_type) == name), key, *([biospecimen] if biospecimen else []), donor)
         if disjoint and parts:
             part = exclude_used(part, union_all(parts), donor)
-        parts.append(draw(part, n_per_class, seed, key).withColumn("label", F.lit(label)))
+        picked = materialize(draw(part, n_per_class, seed, key).withColumn("label", F.lit(label)), "class-draw")
+        if picked.isEmpty():
+            raise ValueError(f"no {name!r} rows to draw from")
+        parts.append(picked)
     return union_all(parts)
 
 
+def draw_project_files(manifest: DataFrame, project: str, n_per_class: int, seed: int, disjoint: bool = True) -> DataFrame:
+    """Draw one project's files out of a checked provider manifest."""
+    rows = provider_manifest_issues(manifest).where(~F.col("code").isin(*DRAW_SETTLES))
+    require(rows.where(~((F.col("check_name") == "sample_submitter_id") & (F.col("code") == "duplicate"))), "manifest")
+    return sample_per_class(manifest.where(F.col("project") == project), n_per_class, seed, disjoint=disjoint)
+
+
+def draw_study_samples(phenotype: DataFrame, study: str, n_per_class: int, seed: int, disjoint: bool = True) -> DataFrame:
+    """Draw one study's samples out of a phenotype table; the donor comes from the barcode."""
+    require(unique_key_issues(phenotype, "sample"), "phenotype")
+    own = phenotype.where(F.col("study") == study).withColumn("donor_id", donor_id("sample"))
+    return sample_per_class(own, n_per_class, seed, "sample", None, "donor_id", disjoint=disjoint)
+
+
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(draw_key(seed, key), key)
 

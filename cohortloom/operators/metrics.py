@@ -10,8 +10,11 @@ from ..functions.numeric import ratio
 from .ranking import (
     auc_column,
     average_precision_column,
+    binary_label,
     exact_quantiles,
+    finite_score,
     interpolate,
+    present_class,
     rank_values,
     running_sums,
     score_histogram,
@@ -35,9 +38,12 @@ ALL_NORMAL_THRESHOLDS = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.999975, 0.
 # Quantiles of the per-type score table.
 TYPE_QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
+# Classes of which a table of all pairs is made without being asked for by name.
+MAX_CLASSES = 1000
+
 
 def confusion_columns(threshold: Column | float, label: str = "label", score: str = "score") -> list[Column]:
-    called, y = F.col(score) >= threshold, F.col(label)
+    called, y = finite_score(score) >= threshold, binary_label(label)
     return [
         F.count_if(~called & (y == 0)).alias("tn"),
         F.count_if(called & (y == 0)).alias("fp"),
@@ -90,28 +96,36 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, label: str = "
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str, groups: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*groups).agg(F.avg(F.when(F.col(truth) == F.col(predicted), 1.0).otherwise(0.0)).alias("accuracy"))
+    """Share of right predictions; a missing class fails the job."""
+    right = present_class(truth) == present_class(predicted)
+    return df.groupBy(*groups).agg(F.avg(F.when(right, 1.0).otherwise(0.0)).alias("accuracy"))
 
 
 def balanced_accuracy(df: DataFrame, truth: str, predicted: str, groups: Sequence[str] = ()) -> DataFrame:
-    recall = df.groupBy(*groups, truth).agg(
-        F.avg(F.when(F.col(truth) == F.col(predicted), 1.0).otherwise(0.0)).alias("class_recall")
-    )
+    """Mean recall over the classes; a missing class fails the job."""
+    right = present_class(truth) == present_class(predicted)
+    recall = df.groupBy(*groups, truth).agg(F.avg(F.when(right, 1.0).otherwise(0.0)).alias("class_recall"))
     return recall.groupBy(*groups).agg(F.avg("class_recall").alias("balanced_accuracy"))
 
 
+def class_pairs(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``true_label, predicted_label, n`` of the pairs that occur; a missing class fails the job."""
+    names = [present_class(c).cast("string").alias(a) for c, a in ((truth, "true_label"), (predicted, "predicted_label"))]
+    return df.groupBy(*names).agg(F.count("*").alias("n"))
+
+
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: Sequence[str] | None = None) -> DataFrame:
     """Counts per (true_label, predicted_label), zeros included.
 
     With an explicit label list other pairs are dropped; the list gives order.
     """
-    pairs = df.groupBy(F.col(truth).cast("string").alias("true_label"), F.col(predicted).cast("string").alias("predicted_label")).agg(
-        F.count("*").alias("n")
-    )
+    pairs = class_pairs(df, truth, predicted)
     if labels is None:
         # The label set is the class list: as long as the number of classes.
         seen = pairs.select(F.explode(F.array("true_label", "predicted_label")).alias("l")).distinct()
-        labels = [r["l"] for r in seen.orderBy("l").collect()]
+        labels = [r["l"] for r in seen.orderBy("l").limit(MAX_CLASSES + 1).collect()]
+        if len(labels) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes; name the labels to tabulate, or use class_pairs")
     if len(set(labels)) != len(labels) or not labels:
         raise ValueError("labels must be unique and at least one")
     grid = df.sparkSession.createDataFrame(
@@ -133,7 +147,7 @@ def class_sides(truth: Column, predicted: Column, n: Column, right: Column, none
 
 
 def per_class_prf(matrix: DataFrame) -> DataFrame:
-    """Support, precision, recall, f1 per class from ``confusion_matrix`` rows."""
+    """Support, precision, recall, f1 per class from ``class_pairs`` (or ``confusion_matrix``) rows."""
     none = F.lit(0).cast("bigint")
     right = F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(none)
     sides = matrix.select(F.inline(class_sides(F.col("true_label"), F.col("predicted_label"), F.col("n"), right, none))).groupBy("label").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("tp").alias("tp"))
@@ -156,7 +170,11 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[tuple[str, float]], labe
 
     The thresholds sit in the plan; each task returns one row per threshold.
     """
-    hist = score_histogram(df, label, score, groups)
+    return histogram_sweep(score_histogram(df, label, score, groups), thresholds, groups)
+
+
+def histogram_sweep(hist: DataFrame, thresholds: Sequence[tuple[str, float]], groups: Sequence[str] = ()) -> DataFrame:
+    """``threshold_sweep`` of rows of ``score_histogram``."""
     cells = F.array(*[F.struct(F.lit(n).alias("threshold_name"), F.lit(float(t)).alias("threshold")) for n, t in thresholds])
     counts = (
         hist.select(*groups, "score", "pos", "neg", F.inline(cells))
@@ -185,7 +203,7 @@ def preset_sweep(df: DataFrame, preset: str, label: str = "label", score: str =
 
 def fpr_sweep(df: DataFrame, score: str = "score", thresholds: Sequence[float] = ALL_NORMAL_THRESHOLDS) -> DataFrame:
     """Calls and false-positive rate per threshold in an all-normal cohort."""
-    counts = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(score) >= t).alias(f"c{i}") for i, t in enumerate(thresholds)])
+    counts = df.select(finite_score(score).alias("s")).agg(F.count("*").alias("n"), *[F.count_if(F.col("s") >= t).alias(f"c{i}") for i, t in enumerate(thresholds)])
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("tumor_calls"), F.col("n").alias("n")) for i, t in enumerate(thresholds)])
     return counts.select(F.inline(rows)).select(
         "threshold", "tumor_calls", (F.col("n") - F.col("tumor_calls")).alias("normal_calls"),
@@ -213,7 +231,7 @@ def labelled_summary(df: DataFrame, threshold: float = 0.5, label: str = "label"
 def all_normal_summary(df: DataFrame, threshold: float = 0.5, score: str = "tumor_probability", groups: Sequence[str] = ()) -> DataFrame:
     """Calls, false-positive rate and upper quantiles from one histogram."""
     groups = list(groups)
-    hist = df.groupBy(*groups, F.col(score).alias("v")).agg(F.count("*").alias("m"))
+    hist = df.groupBy(*groups, finite_score(score).alias("v")).agg(F.count("*").alias("m"))
     probs = (0.5, 0.9, 0.95, 1.0)
     ranked = running_sums(hist, groups, "v", ["m"])
     called = F.coalesce(F.sum(F.when(F.col("v") >= threshold, F.col("m"))), F.lit(0))

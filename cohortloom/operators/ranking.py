@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import draw_key
-from ..functions.numeric import double_array, finite_or_null
+from ..functions.numeric import as_number, double_array, finite_or_null, is_finite
 from ..session import materialize
 
 ROWS_PER_RANGE = 500_000
@@ -82,11 +82,32 @@ def running_sums(hist: DataFrame, groups: Sequence[str], value: str, measures: S
     )
 
 
+def binary_label(label: str) -> Column:
+    """The label as 0 or 1; a row with another value, null included, fails the job."""
+    y = as_number(label)
+    return F.when(y.isin(0.0, 1.0), y.cast("int")).otherwise(F.raise_error(F.lit(f"{label} must hold only the labels 0 and 1")))
+
+
+def finite_score(score: str) -> Column:
+    """The score as a number; a row where it is missing or not finite fails the job."""
+    s = as_number(score)
+    return F.when(is_finite(s), s).otherwise(F.raise_error(F.lit(f"{score} must hold only finite numbers")))
+
+
+def present_class(c: str) -> Column:
+    """A class name; a row without one fails the job."""
+    missing = F.col(c).isNull() | F.coalesce(F.col(c).cast("string") == "NaN", F.lit(False))
+    return F.when(~missing, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must not be missing")))
+
+
 def score_histogram(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score: ``score, pos, neg``."""
-    return df.groupBy(*groups, F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
+    """Positives and negatives per distinct score: ``score, pos, neg``.
+
+    Labels other than 0 and 1 and scores that are no finite numbers are refused
+    in the same pass.
+    """
+    rows = df.select(*groups, binary_label(label).alias("label"), finite_score(score).alias("score"))
+    return rows.groupBy(*groups, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
 def score_ranks(df: DataFrame, label: str = "label", score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
@@ -132,8 +153,12 @@ def youden_counts(ranks: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Best cutoff per group with its confusion counts.
 
     Candidates are the distinct scores, 0 and 1; the greatest (J, accuracy,
-    -threshold) wins. A group without both classes has no row.
+    -threshold) wins. A group without both classes, or with a score that is no
+    probability, fails the job.
     """
+    two = (F.col("pos_total") > 0) & (F.col("neg_total") > 0)
+    refused = F.when(~two, F.lit("a cutoff needs both classes")).when(~F.col("score").between(0, 1), F.lit("scores must be probabilities from 0 to 1"))
+    ranks = ranks.withColumn("score", F.when(refused.isNull(), F.col("score")).otherwise(F.raise_error(refused)))
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     observed = F.struct(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"))
@@ -146,7 +171,7 @@ def youden_counts(ranks: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     cands = F.when(
         top, F.array(observed, all_called, F.when(F.col("score") < 1.0, at_one).otherwise(all_called))
     ).otherwise(F.array(observed))
-    rows = ranks.where("pos_total > 0 and neg_total > 0").select(*groups, "pos_total", "neg_total", F.explode(cands).alias("c"))
+    rows = ranks.select(*groups, "pos_total", "neg_total", F.explode(cands).alias("c"))
     sensitivity = _double("c.tp") / _double("pos_total")
     specificity = _double(F.col("neg_total") - F.col("c.fp")) / _double("neg_total")
     accuracy = _double(F.col("c.tp") + F.col("neg_total") - F.col("c.fp")) / _double(F.col("pos_total") + F.col("neg_total"))

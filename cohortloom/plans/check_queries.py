@@ -337,18 +337,33 @@ def check_output_contract_scores(spark, sf):
     return checks.contract_issues(fx.normal_scores(spark, sf).select("sample", "tumor_probability", "call"), "scores")
 
 
+THRESHOLD_ROWS = """spoiled as (select case when o_orderkey%5=0 then 'default' else 'extra' end as threshold_name,
+  case when o_orderkey%11=0 then 'high' when o_orderkey%13=0 then null else cast(o_orderkey%17/10.0 as varchar) end as metric,
+  case when o_orderkey%7=0 then '1d' else cast(o_orderkey%19-3 as varchar) end as amount from orders),
+m as (select metric, try_cast(metric as double) as v from spoiled), a as (select amount, case when amount<>'1d' then cast(amount as double) end as v from spoiled)"""
+
+
 @query(
-    issues_sql(
-        """select 'thresholds' as check_name, 'column_contract_mismatch' as code, 0 as n, '' as examples
- union all select 'thresholds','threshold_rows_missing',0,''
- union all select 'thresholds.'||c, k, 0, '' from (select unnest(['tn','fp','fn','tp']) as c), (select unnest(['non_numeric_count','negative_count']) as k)"""
+    fx.with_views(
+        THRESHOLD_ROWS,
+        body=issues_sql(
+            """select 'thresholds' as check_name, 'column_contract_mismatch' as code, 0 as n, '' as examples
+ union all select 'thresholds','threshold_rows_missing',(select 2-count(distinct threshold_name) from spoiled where threshold_name in ('default','youden_j')),''
+ union all select 'thresholds.'||c, 'non_numeric_metric', (select count(*) from m where metric is not null and v is null), '' from (select unnest(['threshold','accuracy','f1','precision','recall','specificity','youden_j']) as c)
+ union all select 'thresholds.'||c, 'metric_out_of_range', (select count(*) from m where v<0 or v>1), '' from (select unnest(['threshold','accuracy','f1','precision','recall','specificity','youden_j']) as c)
+ union all select 'thresholds.'||c, 'non_numeric_count', (select count(*) from a where v is null), '' from (select unnest(['tn','fp','fn','tp']) as c)
+ union all select 'thresholds.'||c, 'negative_count', (select count(*) from a where v<0), '' from (select unnest(['tn','fp','fn','tp']) as c)"""
+        ),
     )
 )
 def check_output_contract_thresholds(spark, sf):
-    from ..operators.calibrate import threshold_table
-
-    table = threshold_table(fx.labelled_scores(spark, sf), 0.5, [0.25], "label", "score")
-    return checks.contract_issues(table, "thresholds")
+    """A thresholds table made from orders, with words, gaps and odd numbers among its cells."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 5 == 0, "default").otherwise("extra").alias("threshold_name")
+    metric = F.when(k % 11 == 0, "high").when(k % 13 != 0, (k % 17 / 10.0).cast("string"))
+    amount = F.when(k % 7 == 0, "1d").otherwise((k % 19 - 3).cast("string"))
+    cells = [name if c == "threshold_name" else (amount if c in ("tn", "fp", "fn", "tp") else metric).alias(c) for c in checks.CONTRACTS["thresholds"]]
+    return checks.contract_issues(fx.table(spark, sf, "orders").select(*cells), "thresholds")
 
 
 @query(
@@ -468,12 +483,15 @@ def validate_gene_match(spark, sf):
     issues_sql(
         """select 'metric_inputs' as check_name,'empty' as code,0 as n,'' as examples
  union all select 'metric_inputs','non_binary_label',(select count(*) from lineitem where l_linenumber not in (0,1)),''
- union all select 'metric_inputs','non_finite_score',0,''
+ union all select 'metric_inputs','non_finite_score',(select count(*) from lineitem where l_orderkey%3<>0),''
  union all select 'metric_inputs','single_class',case when (select count(distinct l_linenumber) from lineitem where l_linenumber in (0,1))<2 then 1 else 0 end,''"""
     )
 )
 def check_metric_inputs(spark, sf):
-    return checks.metric_input_issues(fx.table(spark, sf, "lineitem"), "l_linenumber", "l_discount", both_classes=True)
+    """Line numbers as labels; scores of two orders in three are NaN or null."""
+    k = F.col("l_orderkey") % 3
+    score = F.when(k == 1, F.lit(float("nan"))).when(k == 0, F.col("l_discount"))
+    return checks.metric_input_issues(fx.table(spark, sf, "lineitem").withColumn("score", score), "l_linenumber", "score", both_classes=True)
 
 
 @query(

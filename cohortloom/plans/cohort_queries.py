@@ -63,6 +63,41 @@ def sample_per_class_overlapping(spark, sf):
     return cohort.sample_per_class(fx.file_manifest(spark, sf), 150, 7, disjoint=False).select("file_id", "label")
 
 
+@query(
+    fx.with_views(
+        fx.MANIFEST.replace("manifest as (", "all_files as (", 1), "manifest as (select * from all_files where project='P-O')", _first("Primary Tumor", "t"), _first("Solid Tissue Normal", "n"),
+        "tumor as (select * from t2 order by md5('5:'||file_id), file_id limit 100)",
+        "normal as (select * from n2 where case_submitter_id not in (select case_submitter_id from tumor) order by md5('5:'||file_id), file_id limit 100)",
+        body="select file_id, project, case_submitter_id, 1 as label from tumor union all select file_id, project, case_submitter_id, 0 from normal",
+    )
+)
+def draw_project_files(spark, sf):
+    """The manifest is checked whole, one project is drawn from."""
+    return cohort.draw_project_files(fx.file_manifest(spark, sf), "P-O", 100, 5).select("file_id", "project", "case_submitter_id", "label")
+
+
+def study_phenotype(spark, sf):
+    k = F.col("event_id")
+    study = F.when(k % 4 == 0, "GTEX").otherwise("TCGA")
+    sample = F.concat_ws("-", study, F.lit("X"), F.col("user_id").cast("string"), k.cast("string"))
+    kind = F.when(k % 4 == 0, "Normal Tissue").when(k % 4 == 1, "Solid Tissue Normal").otherwise("Primary Tumor")
+    return fx.table(spark, sf, "events").select(sample.alias("sample"), study.alias("study"), kind.alias("sample_type"))
+
+
+@query(
+    fx.with_views(
+        """pheno as (select 'TCGA-X-'||user_id||'-'||event_id as sample, 'TCGA-X-'||user_id as donor_id, case when event_id%4=1 then 0 else 1 end as label from events where event_id%4<>0)""",
+        "one as (select * from (select *, row_number() over (partition by label, donor_id order by sample) as r from pheno) where r=1)",
+        "tumor as (select * from one where label=1 order by md5('3:'||sample), sample limit 40)",
+        "normal as (select * from one where label=0 and donor_id not in (select donor_id from tumor) order by md5('3:'||sample), sample limit 40)",
+        body="select sample, donor_id, label from tumor union all select sample, donor_id, label from normal",
+    )
+)
+def draw_study_samples(spark, sf):
+    """One study of two, a donor on one side only."""
+    return cohort.draw_study_samples(study_phenotype(spark, sf), "TCGA", 40, 3).select("sample", "donor_id", "label")
+
+
 SITE = """first_ as (select * from (select *, 'GTEX-'||split_part(sample,'-',2) as donor_id, row_number() over (partition by primary_site, split_part(sample,'-',2) order by sample) as r from phenotype) where r=1),
 sites as (select primary_site, count(*) as k from first_ group by primary_site having count(*)>=20)"""
 
@@ -77,7 +112,17 @@ def sample_per_site_overlapping(spark, sf):
     return cohort.sample_per_site_overlapping(fx.phenotype(spark, sf), 30, 20, 42).select("sample", "primary_site", "donor_id")
 
 
-@query()
+def _site_turns(turns: int, n: int, least: int, seed: int) -> list[str]:
+    """A view per turn: the draw of the next rarest site from donors not drawn before."""
+    views = [f"ordered as (select primary_site as site, row_number() over (order by count(*), primary_site) as turn from first_ group by primary_site having count(*)>={least})"]
+    for t in range(1, turns + 1):
+        used = "".join(f" and donor_id not in (select donor_id from turn{u})" for u in range(1, t))
+        views.append(f"turn{t} as (select f.sample, primary_site, donor_id from first_ f join ordered on site=primary_site and turn={t} where true{used} order by md5('{seed}:'||f.sample), f.sample limit {n})")
+    return views
+
+
+# The events table has five sites.
+@query(fx.with_views(fx.PHENOTYPE, SITE, *_site_turns(5, 10, 5, 42), body=" union all ".join(f"select * from turn{t}" for t in range(1, 6))))
 def sample_per_site(spark, sf):
     """Rarest site first, donors disjoint over sites."""
     return cohort.sample_per_site(fx.phenotype(spark, sf), 10, 5, 42).select("sample", "primary_site", "donor_id")

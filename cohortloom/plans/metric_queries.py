@@ -247,12 +247,12 @@ prf2 as (select label, support, case when called>0 then tp/cast(called as double
 
 @query(fx.with_views(PREDICTED, GRID, PRF, body="select label, support, round(precision,6) as precision, round(recall,6) as recall, round(f1,6) as f1 from prf2"))
 def per_class_prf(spark, sf):
-    return rounded(metrics.per_class_prf(metrics.confusion_matrix(class_predictions(spark, sf), "true_label", "predicted_label")))
+    return rounded(metrics.per_class_prf(metrics.class_pairs(class_predictions(spark, sf), "true_label", "predicted_label")))
 
 
 @query(fx.with_views(PREDICTED, GRID, PRF, body="select round(avg(f1),6) as macro_f1, round(sum(f1*support)/sum(support),6) as weighted_f1 from prf2"))
 def macro_weighted_f1(spark, sf):
-    m = metrics.confusion_matrix(class_predictions(spark, sf), "true_label", "predicted_label")
+    m = metrics.class_pairs(class_predictions(spark, sf), "true_label", "predicted_label")
     return rounded(metrics.macro_weighted_f1(metrics.per_class_prf(m)))
 
 

@@ -152,13 +152,13 @@ def sigmoid(spark, sf):
 
 @query(
     fx.with_views(
-        "x as (select vec_id, unnest(range(0,5)) as i, embedding from embeddings)",
-        "e as (select vec_id, i, exp(cast(embedding[i+1] as double)-(select max(cast(v as double)) from unnest(embedding[1:5]) t(v))) as e from x)",
+        "x as (select vec_id, unnest(range(0,len(embedding))) as i, embedding from embeddings)",
+        "e as (select vec_id, i, exp(cast(embedding[i+1] as double)-cast(list_max(embedding) as double)) as e from x)",
         body="select vec_id, i as class_idx, round(e/sum(e) over (partition by vec_id),6) as p from e",
     )
 )
 def softmax(spark, sf):
-    s = fx.table(spark, sf, "embeddings").select("vec_id", numeric.softmax(F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double"))).alias("p"))
+    s = fx.table(spark, sf, "embeddings").select("vec_id", numeric.softmax(F.transform("embedding", lambda v: v.cast("double"))).alias("p"))
     return rounded(s.select("vec_id", F.posexplode("p").alias("class_idx", "p")))
 
 
@@ -212,11 +212,11 @@ def call_by_threshold(spark, sf):
     return exact.join(shown, "sample")
 
 
-@query("select vec_id, case when m=a then 'A' when m=b then 'B' else 'C' end as cls from (select vec_id, a, b, c, greatest(a,b,c) as m from (select vec_id, round(cast(embedding[1] as double),1) as a, round(cast(embedding[2] as double),1) as b, round(cast(embedding[3] as double),1) as c from embeddings))")
+@query("select vec_id, 'c'||cast(list_position(v, list_max(v))-1 as varchar) as cls from (select vec_id, [round(cast(x as double),1) for x in embedding] as v from embeddings)")
 def argmax_class(spark, sf):
     """Coarse values, so that ties are common and the first class must win."""
-    p = fx.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda v: F.round(v.cast("double"), 1)).alias("p"))
-    return p.select("vec_id", numeric.argmax_class("p", ["A", "B", "C"]).alias("cls"))
+    p = fx.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 1)).alias("p"))
+    return p.select("vec_id", numeric.argmax_class("p", [f"c{i}" for i in range(64)]).alias("cls"))
 
 
 @query(fx.with_views(*BINARY, body="select gene_id, case when coef>=0 then 'tumor' else 'normal' end as direction from model"))

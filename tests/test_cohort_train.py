@@ -30,6 +30,30 @@ def test_sample_per_class_is_donor_disjoint(provider):
     assert again == cohort.sample_per_class(provider.repartition(3), 1, 1).collect()
     with pytest.raises(ValueError):
         cohort.sample_per_class(provider, 0, 1)
+    with pytest.raises(ValueError, match="Solid Tissue Normal"):
+        cohort.sample_per_class(provider.where("sample_type = 'Primary Tumor'"), 1, 1)
+
+
+def test_project_draw_checks_the_manifest(provider):
+    other = provider.withColumn("project", F.lit("Q")).withColumn("file_id", F.regexp_replace("file_id", "^00000000", "10000000"))
+    both = provider.unionByName(other)
+    assert {r.project for r in cohort.draw_project_files(both, "P", 10, 1).collect()} == {"P"}
+    with pytest.raises(ValueError, match="no 'Primary Tumor' rows"):
+        cohort.draw_project_files(both, "R", 10, 1)
+    with pytest.raises(ValueError, match="invalid_md5"):
+        cohort.draw_project_files(both.withColumn("md5sum", F.lit("x")), "P", 10, 1)
+    with pytest.raises(ValueError, match="duplicate"):
+        cohort.draw_project_files(provider.unionByName(provider), "P", 10, 1)
+
+
+def test_study_draw(spark):
+    rows = [("TCGA-A-1-01", "TCGA", "Primary Tumor"), ("TCGA-A-1-11", "TCGA", "Solid Tissue Normal"), ("TCGA-A-2-11", "TCGA", "Solid Tissue Normal"), ("GTEX-A-1", "GTEX", "Solid Tissue Normal")]
+    df = spark.createDataFrame(rows, "sample string, study string, sample_type string")
+    assert {r["sample"] for r in cohort.draw_study_samples(df, "TCGA", 5, 1).collect()} == {"TCGA-A-1-01", "TCGA-A-2-11"}
+    with pytest.raises(ValueError, match="Primary Tumor"):
+        cohort.draw_study_samples(df, "GTEX", 5, 1)
+    with pytest.raises(ValueError, match="duplicate"):
+        cohort.draw_study_samples(df.unionByName(df), "TCGA", 5, 1)
 
 
 def test_manifest_rules(provider):

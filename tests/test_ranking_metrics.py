@@ -72,7 +72,43 @@ def test_one_class(labelled, y):
     assert r.auc is None
     assert (r.average_precision is None) == (sum(y) == 0)
     assert r.balanced_accuracy == 0.5
-    assert metrics.youden_threshold(labelled(y, [0.2, 0.8])).count() == 0
+    with pytest.raises(Exception, match="both classes"):
+        metrics.youden_threshold(labelled(y, [0.2, 0.8])).collect()
+
+
+@pytest.mark.parametrize(
+    "y, s, problem",
+    [([0, 2], [0.1, 0.2], "labels 0 and 1"), ([0, None], [0.1, 0.2], "labels 0 and 1"), ([0, 1], [0.1, math.nan], "finite"), ([0, 1], [0.1, None], "finite"), ([0, 1], [0.1, math.inf], "finite")],
+)
+@pytest.mark.parametrize(
+    "metric",
+    [
+        ranking.roc_auc, ranking.average_precision, metrics.classification_metrics, metrics.youden_threshold, metrics.labelled_summary,
+        lambda df: metrics.confusion_at(df, 0.5), lambda df: metrics.false_positive_rate(df, 0.5), lambda df: metrics.threshold_sweep(df, [("a", 0.5)]),
+    ],
+)
+def test_bad_labels_and_scores_are_refused(spark, metric, y, s, problem):
+    df = spark.createDataFrame(list(zip(y, s)), "label int, score double")
+    with pytest.raises(Exception, match=problem):
+        metric(df).collect()
+
+
+def test_cutoffs_need_probabilities(labelled):
+    with pytest.raises(Exception, match="probabilities"):
+        metrics.youden_threshold(labelled([0, 1, 1], [-3.0, 0.5, 7.0])).collect()
+
+
+@pytest.mark.parametrize("metric", [metrics.fpr_sweep, lambda df: metrics.all_normal_summary(df, score="score")])
+def test_normal_cohorts_need_finite_scores(spark, metric):
+    with pytest.raises(Exception, match="finite"):
+        metric(spark.createDataFrame([(0.5,), (None,)], "score double")).collect()
+
+
+@pytest.mark.parametrize("metric", [metrics.accuracy, metrics.balanced_accuracy, metrics.class_pairs])
+@pytest.mark.parametrize("row", [(None, "a"), ("a", None)])
+def test_missing_classes_are_refused(spark, metric, row):
+    with pytest.raises(Exception, match="missing"):
+        metric(spark.createDataFrame([("a", "a"), row], "t string, p string"), "t", "p").collect()
 
 
 def skewed(spark, n=4000):
@@ -137,6 +173,8 @@ def test_multiclass_tables(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "t string, p string")
     matrix = metrics.confusion_matrix(df, "t", "p")
     assert {(r.true_label, r.predicted_label): r.n for r in matrix.collect() if r.n} == {("a", "a"): 1, ("a", "b"): 1, ("b", "b"): 1, ("c", "a"): 1}
+    pairs = {r.label: tuple(r) for r in metrics.per_class_prf(metrics.class_pairs(df, "t", "p")).collect()}
+    assert pairs == {r.label: tuple(r) for r in metrics.per_class_prf(matrix).collect()}
     prf = {r.label: (r.support, r.precision, r.recall, round(r.f1, 6)) for r in metrics.per_class_prf(matrix).collect()}
     assert prf == {"a": (2, 0.5, 0.5, 0.5), "b": (1, 0.5, 1.0, 0.666667), "c": (1, 0.0, 0.0, 0.0)}
     assert metrics.accuracy(df, "t", "p").head()[0] == 0.5
@@ -173,8 +211,15 @@ def test_label_matching_guards(spark):
         calibrate.attach_labels(scores.withColumn("tumor_probability", F.lit(1.5)), labels, 0.5)
     with pytest.raises(ValueError, match="unrecognized"):
         calibrate.attach_labels(scores, spark.createDataFrame([("001", "x"), ("002", "tumor")], labels.schema), 0.5)
-    _, stats = calibrate.reindex_labels(scores, labels)
-    assert tuple(stats.head()) == (3, 2, 1, 1)
+    with pytest.raises(ValueError, match="unrecognized"):
+        calibrate.reindex_labels(scores, labels)
+    known = labels.withColumn("label", F.when(F.col("label") == "bogus", "normal").otherwise(F.col("label")))
+    joined, stats = calibrate.reindex_labels(scores, known)
+    assert tuple(stats.head()) == (3, 2, 1, 1) and joined.count() == 3
+    with pytest.raises(ValueError, match="duplicate"):
+        calibrate.reindex_labels(scores, known.unionByName(known))
+    with pytest.raises(ValueError, match="duplicate"):
+        calibrate.reindex_labels(scores.unionByName(scores), known)
 
 
 def test_contracts(spark):
