@@ -135,7 +135,12 @@ COUNT_GENES = tuple(f"ENSG{g:011d}" for g in range(0, 500, 2))
     )
 )
 def read_count_files(spark, sf):
-    """One STAR-style file per supplier with comment, header and N_ rows."""
+    """One STAR-style file per supplier with comment, header and N_ rows; every other one has its columns reversed."""
+    turned = F.col("l_suppkey") % 2 == 1
+
+    def line(*fields):
+        return F.when(turned, F.concat_ws("\t", *fields[::-1])).otherwise(F.concat_ws("\t", *fields))
+
     li = fx.table(spark, sf, "lineitem")
     body = (
         li.groupBy("l_suppkey", (F.col("l_partkey") % 500).alias("g"))
@@ -143,15 +148,14 @@ def read_count_files(spark, sf):
         .select(
             "l_suppkey",
             (F.col("g") + 10).alias("at"),
-            F.concat_ws("\t", F.concat(F.lit("ENSG"), F.lpad(F.col("g").cast("string"), 11, "0"), F.lit("."), (F.col("g") % 3 + 1).cast("string")), F.lit("sym"), F.lit("protein_coding"), F.col("tpm").cast("string")).alias("value"),
+            line(F.concat(F.lit("ENSG"), F.lpad(F.col("g").cast("string"), 11, "0"), F.lit("."), (F.col("g") % 3 + 1).cast("string")), F.lit("sym"), F.lit("protein_coding"), F.col("tpm").cast("string")).alias("value"),
         )
     )
-    fixed = spark.createDataFrame(
-        [(0, "# gene-model: test"), (1, "gene_id\tgene_name\tgene_type\ttpm_unstranded"), (2, ""), (3, "N_unmapped\t\t\t"), (4, "N_multimapping\t\t\t")],
-        "at bigint, value string",
-    )
     # Five fixed lines per file.
-    heads = li.select("l_suppkey").distinct().select("l_suppkey", F.explode(F.array(*[F.struct(F.lit(r["at"]).alias("at"), F.lit(r["value"]).alias("value")) for r in fixed.collect()])).alias("h")).select("l_suppkey", "h.at", "h.value")
+    names = line(*map(F.lit, ("gene_id", "gene_name", "gene_type", "tpm_unstranded")))
+    fixed = [F.lit("# gene-model: test"), names, F.lit(""), line(F.lit("N_unmapped"), *[F.lit("")] * 3), line(F.lit("N_multimapping"), *[F.lit("")] * 3)]
+    lines = F.posexplode(F.array(*fixed)).alias("at", "value")
+    heads = li.select("l_suppkey").distinct().select("l_suppkey", lines).select("l_suppkey", F.col("at").cast("bigint").alias("at"), "value")
     path = scratch_path(spark, "star-counts")
     (
         heads.unionByName(body)

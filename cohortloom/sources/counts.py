@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.numeric import decode_log2_tpm001, log2_tpm1, to_number
 from ..operators.align import drop_all_missing_genes, repeated_cells, select_genes
 from ..operators.checks import counted, offenders, require, union_all
-from ..session import materialize
+from ..session import materialize, small_side
 from .matrix import ExpressionMatrix, gene_row_cells, matrix_from_long
 
 
@@ -25,25 +25,28 @@ def count_file_lines(spark: SparkSession, path: str, file_id: str = FILE_NAME) -
     """Data lines of STAR-style files: ``file_id, gene_id, tpm_text``.
 
     Comment and blank lines are skipped; ``file_id`` is the pattern that takes
-    the id from a path. The header line names the columns; it is
-    read from one file and every file must repeat it.
+    the id from a path. The line with a ``gene_id`` field names a file's columns,
+    whose order may differ from file to file. A file without such a line or
+    without ``tpm_unstranded``, or with two different ones, is refused.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), file_id, 1).alias("file_id"),
-        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("line")
     ).where("line <> '' and not startswith(line, '#')")
-    heads = lines.where(F.array_contains(F.split("line", "\t"), "gene_id"))
-    head = heads.select("line").head()
-    if head is None:
-        raise ValueError(f"no header with gene_id in {path}")
-    columns = head[0].split("\t")
-    if "tpm_unstranded" not in columns:
-        raise ValueError(f"no tpm_unstranded column in {path}")
-    odd = heads.where(F.col("line") != head[0])
-    require(offenders(odd, "file_id", "count_files", "other_header"), path)
-    gene_at, tpm_at = columns.index("gene_id"), columns.index("tpm_unstranded")
     f = F.split("line", "\t")
-    return lines.where(F.col("line") != head[0]).select("file_id", F.get(f, F.lit(gene_at)).alias("gene_id"), F.get(f, F.lit(tpm_at)).alias("tpm_text"))
+    head = F.when(F.array_contains(f, "gene_id"), F.col("line"))
+    # One row per file; a task sends one for each file it reads.
+    found = lines.groupBy("file").agg(F.min(head).alias("head"), F.max(head).alias("last"))
+    named = F.split("head", "\t")
+    heads = materialize(
+        found.select("file", "head", "last", *[(F.array_position(named, c) - 1).cast("int").alias(a) for c, a in (("gene_id", "gene_at"), ("tpm_unstranded", "tpm_at"))]),
+        "count-heads",
+    )
+    if heads.isEmpty():
+        raise ValueError(f"no lines in {path}")
+    bad = [("head is null", "no_header"), ("tpm_at < 0", "no_tpm_column"), ("head <> last", "several_headers")]
+    require(union_all([offenders(heads.where(rule), "file", "count_files", code) for rule, code in bad]), path)
+    own = lines.join(small_side(heads.drop("last")), "file").where("line <> head")
+    return own.select(F.regexp_extract("file", file_id, 1).alias("file_id"), F.get(f, F.col("gene_at")).alias("gene_id"), F.get(f, F.col("tpm_at")).alias("tpm_text"))
 
 
 def count_issues(cells: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def count_issues(cells: DataFrame) -> DataFrame:
 def read_count_files(spark: SparkSession, path: str, genes: Sequence[str], file_id: str = FILE_NAME) -> DataFrame:
     """``file_id, gene_id, value`` with value = log2(tpm+1), model genes only.
 
-    The text is read once: rows of other genes go before the shuffle, and what is
+    The text is read for the headers and once more: rows of other genes go before the shuffle, and what is
     left is written to the shared folder, checked there and handed on.
     """
     cells = select_genes(count_file_lines(spark, path, file_id), genes_frame(spark, genes))
@@ -68,6 +71,8 @@ def read_count_files(spark: SparkSession, path: str, genes: Sequence[str], file_
         F.count("*").alias("copies"), F.count_if(value.isNull()).alias("bad"), F.min(value).alias("low"), F.max(value).alias("tpm")
     )
     cells = materialize(cells, "count-cells")
+    if cells.isEmpty():
+        raise ValueError(f"no wanted gene in {path}")
     require(count_issues(cells), path)
     return cells.select("file_id", F.col("target").alias("gene_id"), log2_tpm1("tpm").alias("value"))
 
@@ -107,11 +112,14 @@ def read_gene_by_sample(spark: SparkSession, path: str, genes: Sequence[str], sa
 
     Unwanted gene rows go before cells are expanded, unwanted samples after.
     """
-    wanted = genes_frame(spark, genes)
+    # Rows without a gene id are carried along to be refused.
+    wanted = genes_frame(spark, [*genes, ""])
     cells = select_genes(gene_row_cells(spark, path, sep, wanted), wanted)
     if samples is not None:
         cells = cells.join(samples.select("sample").distinct(), "sample", "left_semi")
     cells = materialize(cells, "gene-row-cells")
     require(gene_row_issues(cells, samples), path)
+    if cells.isEmpty():
+        raise ValueError(f"no wanted gene or sample in {path}")
     return cells.select("sample", F.col("target").alias("gene_id"), decode_log2_tpm001(to_number("cell")).alias("value"))
 

@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.ids import GENE_ID, strip_version
 from ..functions.numeric import finite_or_null, gather, int_array, let, to_number
-from ..session import small_side
+from ..session import materialize, small_side
 from ..operators.checks import offenders, require, union_all, unique_key_issues
 
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
+# Genes that an axis found in the data may have.
+MAX_AXIS = 1_000_000
+# Characters of all heads together that are broadcast; parts of a file beyond that.
+HEAD_CHARS = 64 << 20
+HEAD_SALTS = 64
 # A separator that cannot occur in text: a whole line is read as one CSV field.
 _WHOLE_LINE = "\u0001"
 
@@ -123,7 +128,9 @@ def read_matrix(
     if kind == ".parquet":
         matrix = _read_parquet(spark, path, transpose, index_col)
     elif kind in DELIMITERS and transpose:
-        matrix = matrix_from_long(gene_row_cells(spark, path, DELIMITERS[kind]), None, value="cell")
+        axis = gene_axis(spark, path, DELIMITERS[kind])
+        _require_header(axis, None, path)
+        matrix = matrix_from_long(gene_row_cells(spark, path, DELIMITERS[kind]), axis, value="cell")
     elif kind in DELIMITERS:
         matrix = _read_delimited(spark, path, DELIMITERS[kind], index_col)
     else:
@@ -168,46 +175,75 @@ def _index_position(header: Sequence[str], index_col: int | str, path: str) -> i
     return index_col % len(header)
 
 
-def gene_row_cells(spark: SparkSession, path: str, sep: str = "\t", genes: DataFrame | None = None) -> DataFrame:
-    """Cells of gene-by-sample files as ``(file, gene_id, sample, cell)``.
-
-    A cohort may come as many files, each with its own block of samples. The
-    header of a file is its first line: the line with the least row id in the
-    split that starts at byte 0. ``genes(gene_id)`` keeps only wanted rows
-    before cells are expanded. A gzip file arrives as one split, so lines are
-    spread out by their text before they are taken apart.
-    """
+def _gene_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, row_id, line`` of every line that is not empty."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
         F.regexp_replace("value", "^﻿|\r$", "").alias("line"),
     )
-    heads = (
-        lines.where("block = 0")
-        .groupBy("file")
-        .agg(F.min_by("line", "row_id").alias("head_line"))
-        .select("file", "head_line", split_fields(F.col("head_line"), sep).alias("head"))
-    )
+    return lines.where("line <> ''")
+
+
+def _heads(lines: DataFrame, sep: str) -> DataFrame:
+    """``file, head_line, head``: a file's first line, in the split that starts at byte 0."""
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("line", "row_id").alias("head_line"))
+    return materialize(first.select("file", "head_line", split_fields(F.col("head_line"), sep).alias("head")), "heads")
+
+
+def _with_heads(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Each line beside its file's head, with no file's lines in one task.
+
+    Lines are spread by their text, as a gzip file arrives as one split. Heads that
+    are small together are broadcast; others are repeated for ``HEAD_SALTS`` parts of
+    a file, which its lines are dealt to.
+    """
+    size = heads.agg(F.sum(F.length("head_line"))).head()[0] or 0
+    if size <= HEAD_CHARS:
+        return lines.repartition("file", "line").join(F.broadcast(heads), "file")
+    salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HEAD_SALTS - 1))))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(HEAD_SALTS)).cast("int"))
+    return dealt.join(salted, ["file", "salt"]).drop("salt")
+
+
+def gene_row_cells(spark: SparkSession, path: str, sep: str = "\t", genes: DataFrame | None = None) -> DataFrame:
+    """Cells of gene-by-sample files as ``(file, gene_id, sample, cell)``.
+
+    A cohort may come as many files, each with its own block of samples. The
+    header of a file is its first line. Empty lines are skipped; a blank gene id is
+    the empty text. ``genes(gene_id)`` keeps only wanted rows before cells are
+    expanded.
+    """
+    lines = _gene_lines(spark, path)
+    heads = _heads(lines, sep)
     if genes is not None:
         # The id field ends at the first separator; no full split for unwanted rows.
-        lines = lines.withColumn("gene_id", F.substring_index("line", sep, 1)).join(
-            small_side(genes.select(strip_version("gene_id").alias("base")).distinct()),
-            strip_version("gene_id") == F.col("base"),
-            "left_semi",
-        )
-    body = (
-        lines.select("file", "line")
-        .repartition("file", "line")
-        .join(heads, "file")
-        .where("line <> head_line")
-        .select("file", "head", split_fields(F.col("line"), sep).alias("f"))
-    )
+        wanted = small_side(genes.select(strip_version("gene_id").alias("base")).distinct())
+        lines = lines.withColumn("gene_id", F.trim(F.substring_index("line", sep, 1))).join(wanted, strip_version("gene_id") == F.col("base"), "left_semi")
+    body = _with_heads(lines.select("file", "line"), heads).where("line <> head_line").select("file", "head", split_fields(F.col("line"), sep).alias("f"))
     width = F.greatest(F.size("head"), F.size("f"))
     pairs = F.arrays_zip(F.slice("head", F.lit(2), width).alias("sample"), F.slice("f", F.lit(2), width).alias("cell"))
-    return body.select("file", F.get("f", F.lit(0)).alias("gene_id"), F.explode(pairs).alias("c")).select(
-        "file", "gene_id", F.col("c.sample"), F.col("c.cell")
-    )
+    gene = F.get("f", F.lit(0))
+    gene = F.when(F.trim(gene) == "", F.lit("")).otherwise(gene)
+    return body.select("file", gene.alias("gene_id"), F.explode(pairs).alias("c")).select("file", "gene_id", F.col("c.sample"), F.col("c.cell"))
+
+
+def gene_axis(spark: SparkSession, path: str, sep: str) -> list[str]:
+    """Genes of gene-by-sample files in the order of their first appearance."""
+    lines = _gene_lines(spark, path)
+    heads = _heads(lines, sep)
+    rows = lines.select("line", F.struct("file", "block", "row_id").alias("place")).join(F.broadcast(heads.select("head_line").distinct()), F.col("line") == F.col("head_line"), "left_anti")
+    genes = rows.groupBy(F.get(split_fields(F.col("line"), sep), F.lit(0)).alias("g")).agg(F.min("place").alias("place"))
+    return _bounded_axis(genes.orderBy("place").select("g"))
+
+
+def _bounded_axis(genes: DataFrame) -> list[str]:
+    """The gene axis on the driver, refused where it is no gene axis by its length."""
+    axis = [r[0] for r in genes.limit(MAX_AXIS + 1).collect()]
+    if len(axis) > MAX_AXIS:
+        raise ValueError(f"more than {MAX_AXIS} genes; is the matrix the other way round?")
+    return axis
 
 
 def matrix_from_long(
@@ -216,20 +252,21 @@ def matrix_from_long(
     """One dense row per sample from long cells; absent cells are null.
 
     The one shuffle is on the sample, whose group is as long as the gene axis.
-    A repeated (sample, gene) is an error.
+    A repeated (sample, gene) fails the job, whatever the session's rule for map keys.
     """
     spark = df.sparkSession
     if genes is None:
-        axis_rows = df.select(F.col(gene).alias("g")).distinct().orderBy("g").collect()
-        genes = [r["g"] for r in axis_rows]
+        genes = _bounded_axis(df.select(F.col(gene).alias("g")).distinct().orderBy("g"))
         _require_header(genes, None, "long cells")
     axis = spark.createDataFrame(list(enumerate(genes)), "pos int, axis_gene string")
     at = int_array(range(len(genes)))
+    repeated = F.concat(F.lit("sample "), F.coalesce("sample", F.lit("null")), F.lit(" has a gene twice"))
     rows = (
         df.select(F.col(sample).alias("sample"), F.col(gene).alias("axis_gene"), F.col(value).alias("v"))
         .join(F.broadcast(axis), "axis_gene")
         .groupBy("sample")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
+        .agg(F.collect_list(F.struct("pos", "v")).alias("e"))
+        .select("sample", F.when(F.size(F.array_distinct("e.pos")) == F.size("e"), F.map_from_entries("e")).otherwise(F.raise_error(repeated)).alias("m"))
         .select("sample", let("m", lambda m: F.transform(at, lambda i: F.try_element_at(m, i))).alias("cells"))
     )
     return ExpressionMatrix(rows, tuple(genes))

@@ -102,10 +102,10 @@ def test_transposed_and_many_blocks(spark, tmp_path):
     put(tmp_path / "t" / "a.tsv", "gene\ts1\ts2\nENSG2\t3\t4\nENSG1\t1\t2\n")
     put(tmp_path / "t" / "b.tsv", "gene\ts3\nENSG1\t5\nENSG2\tbad\n")
     m = mx.read_matrix(spark, str(tmp_path / "t"), "tsv", transpose=True)
-    assert m.genes == ("ENSG1", "ENSG2")
-    assert cells(m) == {"s1": ["1", "3"], "s2": ["2", "4"], "s3": ["5", "bad"]}
+    assert m.genes == ("ENSG2", "ENSG1")
+    assert cells(m) == {"s1": ["3", "1"], "s2": ["4", "2"], "s3": ["bad", "5"]}
     one = mx.read_matrix(spark, str(tmp_path / "t" / "a.tsv"), transpose=True)
-    assert cells(one) == {"s1": ["1", "3"], "s2": ["2", "4"]}
+    assert cells(one) == {"s1": ["3", "1"], "s2": ["4", "2"]}
 
 
 def test_round_trip_many_parts(spark, matrix, tmp_path):
@@ -178,6 +178,23 @@ def test_bad_count_files(spark, tmp_path, rows, problem):
         counts.read_count_files(spark, str(tmp_path), ["ENSG1"])
 
 
+def test_count_files_with_other_column_order(spark, tmp_path):
+    put(tmp_path / "f1.tsv", STAR.format("ENSG1.5\tA\t3\n"))
+    put(tmp_path / "f2.tsv", "tpm_unstranded\tgene_id\n7\tENSG1.1\n")
+    got = {r.file_id: r.value for r in counts.read_count_files(spark, str(tmp_path), ["ENSG1"]).collect()}
+    assert got == {"f1": 2.0, "f2": 3.0}
+    with pytest.raises(ValueError, match="no wanted gene"):
+        counts.read_count_files(spark, str(tmp_path), ["ENSG5"])
+
+
+@pytest.mark.parametrize("text,problem", [("ENSG1.1\tA\t3\n", "no_header"), ("gene_id\tother\nENSG1\t2\n", "no_tpm_column"), ("gene_id\ttpm_unstranded\nENSG1\t2\ntpm_unstranded\tgene_id\n", "several_headers")])
+def test_count_files_need_one_header_each(spark, tmp_path, text, problem):
+    put(tmp_path / "f1.tsv", STAR.format("ENSG1.5\tA\t3\n"))
+    put(tmp_path / "f2.tsv", text)
+    with pytest.raises(ValueError, match=problem):
+        counts.read_count_files(spark, str(tmp_path), ["ENSG1"])
+
+
 def gz(path, text):
     with gzip.open(path, "wt") as f:
         f.write(text)
@@ -196,12 +213,36 @@ def test_gene_by_sample(spark, tmp_path):
         counts.read_gene_by_sample(spark, p, ["ENSG1"])
 
 
-@pytest.mark.parametrize("text,problem", [("sample\tS1\tS1\nENSG1\t0\t0\n", "repeated_gene"), ("sample\tS1\nENSG1.1\t0\nENSG1.2\t0\n", "repeated_gene"), ("sample\tS1\tS2\nENSG1\t0\n", "short_row")])
+@pytest.mark.parametrize("text,problem", [("sample\tS1\tS1\nENSG1\t0\t0\n", "repeated_gene"), ("sample\tS1\nENSG1.1\t0\nENSG1.2\t0\n", "repeated_gene"), ("sample\tS1\tS2\nENSG1\t0\n", "short_row"), ("sample\tS1\nENSG1\t0\n \t0\n", "blank_gene"), ("sample\tS1\nENSG4\t0\n", "no wanted gene")])
 def test_bad_gene_by_sample(spark, tmp_path, text, problem):
     with pytest.raises(ValueError, match=problem):
         counts.read_gene_by_sample(spark, gz(tmp_path / "m.gz", text), ["ENSG1"])
 
 
+def test_transposed_text_keeps_gene_order_and_skips_blank_lines(spark, tmp_path):
+    put(tmp_path / "m.tsv", "id\ts1\ts2\ng9\t1\t2\n\ng1\t3\t4\ng5\t5\t6\n\n")
+    m = mx.read_matrix(spark, str(tmp_path / "m.tsv"), transpose=True)
+    assert m.genes == ("g9", "g1", "g5") and cells(m) == {"s1": ["1", "3", "5"], "s2": ["2", "4", "6"]}
+
+
+def test_repeated_gene_in_transposed_text_fails(spark, tmp_path):
+    put(tmp_path / "m.tsv", "id\ts1\ng1\t1\ng1\t3\n")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    try:
+        with pytest.raises(Exception, match="has a gene twice"):
+            mx.read_matrix(spark, str(tmp_path / "m.tsv"), transpose=True).rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.mapKeyDedupPolicy")
+
+
+def test_large_heads_deal_lines_by_salt(spark, tmp_path, monkeypatch):
+    put(tmp_path / "m.tsv", "id\ts1\ts2\n" + "".join(f"g{i}\t{i}\t{i + 1}\n" for i in range(50)))
+    rows = lambda: sorted(map(tuple, mx.gene_row_cells(spark, str(tmp_path / "m.tsv")).select("gene_id", "sample", "cell").collect()))
+    small = rows()
+    monkeypatch.setattr(mx, "HEAD_CHARS", 0)
+    assert len(small) == 100 and rows() == small
+
+
 def hit(file_id, *cases):
     return {"file_id": file_id, "file_name": "f", "file_size": 1, "md5sum": "m", "cases": list(cases)}
 
