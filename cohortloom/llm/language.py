@@ -7,9 +7,6 @@ with the fewest bytes is chosen, and a narrow margin to the next is a rejection.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-import re
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,7 +23,6 @@ PARAMETERS = {"strategy": zstandard.STRATEGY_BTOPT, "min_match": 3}
 MARGIN = 0.002
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _open: dict[int, list] = {}
 
 
@@ -74,7 +70,7 @@ def _compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zs
 
 def predict(text: str | None, compressors: list) -> tuple[str, float]:
     """Language and share of bytes saved against the next best, from 0 to 1."""
-    if not compressors or text is None or not _LETTER.search(text):
+    if not compressors or text is None or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     data = text.lower().encode()
     sizes = [0] * len(compressors)

@@ -266,3 +266,9 @@ def test_pipeline_stages_keep_columns(spark, docs):
         left = stage(spark, left, "")
         assert left.columns == docs.columns or i == len(corpus_pipeline.STAGES) - 1
     assert left.count() > 0
+
+
+@pytest.mark.parametrize("text, told", [("½ ² Ⅷ 12 __", False), ("", False), (None, False), ("12 ж", True), ("ñ", True)])
+def test_only_texts_with_a_letter_have_a_language(text, told):
+    made = language._compressors({"aa": b"some words of one language " * 20, "bb": "другие слова языка ".encode() * 20})
+    assert (language.predict(text, made)[0] != language.UNKNOWN) == told
