@@ -272,3 +272,76 @@ def test_pipeline_stages_keep_columns(spark, docs):
 def test_only_texts_with_a_letter_have_a_language(text, told):
     made = language._compressors({"aa": b"some words of one language " * 20, "bb": "другие слова языка ".encode() * 20})
     assert (language.predict(text, made)[0] != language.UNKNOWN) == told
+
+
+def jaccard_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_names(data):
+    """Kept (doc_id, text) of rows by comparing all pairs; ids are distinct."""
+    sets = [jaccard_shingles(r[1]) for r in data]
+    root = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (a or b) and 5 * len(a & b) < 4 * len(a | b):
+                continue
+            x, y = root[i], root[j]
+            root = [y if r == x else r for r in root]
+    return {min(data[i][0] for i in range(len(data)) if root[i] == r) for r in root}
+
+
+def planted(rng, pairs=60):
+    """Texts of 200 and 400 words with copies of some words replaced, similarities on both sides of 0.8."""
+    data = []
+    for words, edits in [(200, 1), (200, 2), (200, 4), (400, 1), (400, 4), (400, 8), (200, 6), (400, 14)]:
+        for _ in range(pairs):
+            base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+            copy = list(base)
+            for at in rng.sample(range(words), edits):
+                copy[at] = f"v{rng.randrange(5000)}"
+            data += [(len(data), " ".join(base)), (len(data) + 1, " ".join(copy))]
+    return data
+
+
+def test_near_stage_finds_planted_copies_and_nothing_below(spark, docs, nothing):
+    import corpus_pipeline
+
+    data = planted(random.Random(8))
+    near = [jaccard_shingles(a[1]) for a in data[::2]], [jaccard_shingles(b[1]) for b in data[1::2]]
+    alike = [5 * len(a & b) >= 4 * len(a | b) for a, b in zip(*near)]
+    assert 200 < sum(alike) < len(alike) - 60
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(3), "").collect()}
+    assert kept == {i for i, _ in data} - {2 * k + 1 for k, x in enumerate(alike) if x}
+    one = {r[0]: r for r in rows() if r[0] is not None}
+    odd = docs.where("doc_id is not null")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, odd, "").collect()} == near_names(list(one.values()))
+    assert corpus_pipeline.near(spark, docs, "").count() == len(near_names(list(one.values())))
+    assert corpus_pipeline.near(spark, nothing, "").count() == 0
+
+
+def test_near_tiles_join_a_large_group(spark, monkeypatch):
+    from cohortloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", 8)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    data = [(i, " ".join(w if rng.random() > 0.006 else f"v{rng.randrange(99999)}" for w in base)) for i in range(70)]
+    assert {r.doc_id for r in near_copies.kept_rows(spark.createDataFrame(data, "doc_id long, text string")).collect()} == near_names(data)
+
+
+def test_forest_equals_all_pairs():
+    from cohortloom.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = [rng.choice(60, 40, replace=False) for _ in range(3)]
+        sets = [np.unique(np.concatenate([rng.permutation(base[rng.integers(3)])[: rng.integers(30, 41)], rng.integers(0, 60, rng.integers(0, 5))])).astype(np.uint64) for _ in range(25)]
+        want, got = list(range(25)), list(range(25))
+        pairs = [(i, j) for i in range(25) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        for root, edges in ((want, pairs), (got, near_copies.forest(sets))):
+            for i, j in edges:
+                x, y = root[i], root[j]
+                root[:] = [min(x, y) if r in (x, y) else r for r in root]
+        assert want == got
