@@ -8,13 +8,14 @@ anti-join (the index side needs no shuffle), and the others are appended.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
 from .rows import kept_once
 
-_COLUMNS = "digest binary, keep_id bigint, keep_row bigint"
+_COLUMNS = "digest binary, keep_id bigint, keep_row bigint, keep_batch string"
 
 
 def digest(text: Column) -> Column:
@@ -43,22 +44,26 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def add(self, digests: DataFrame) -> None:
-        """Append the digests that the index lacks; of equal ones the largest (id, row) is kept."""
-        best = F.max(F.struct("doc_id", "row"))
-        new = digests.groupBy("digest").agg(best.alias("best")).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+        """Append the digests that the index lacks; of equal ones the largest (id, row) is kept.
+
+        ``digests`` holds ``row, doc_id, digest, batch``; row numbers count within a batch.
+        """
+        best = F.max(F.struct("doc_id", "row", "batch"))
+        new = digests.groupBy("digest").agg(best.alias("best")).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.batch").alias("keep_batch"))
         fresh = new.join(self.entries().hint("merge"), "digest", "left_anti")
         fresh.write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, digest`` of each row, written once so that row numbers hold."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
+    """``row, doc_id, digest, batch`` of each row, written once so that row numbers hold; every call is a batch of its own."""
+    batch = F.lit(uuid.uuid4().hex).alias("batch")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), batch)
     return materialize(rows, "digests")
 
 
 def classes(digests: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
-    """Add ``digests`` to ``index`` and return ``digest, keep_id, keep_row, group_size``.
+    """Add ``digests`` to ``index`` and return ``digest, keep_id, keep_row, keep_batch, group_size``.
 
     Batches are ranges of doc_id, the highest first, so that the first keeper of a
     text is also the one with the largest id. A null id counts as lowest.
@@ -93,7 +98,8 @@ def _verdicts(docs: DataFrame, path: str | None, batches: int) -> DataFrame:
     index = DigestIndex(spark, path or scratch_path(spark, "index"))
     found = classes(digests, index, batches)
     joined = digests.join(found, "digest")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), "digest", "row")
+    kept = F.col("row").eqNullSafe(F.col("keep_row")) & F.col("batch").eqNullSafe(F.col("keep_batch"))
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "row")
 
 
 def kept_rows(docs: DataFrame, path: str | None = None, batches: int = 2) -> DataFrame:

@@ -345,3 +345,12 @@ def test_forest_equals_all_pairs():
                 x, y = root[i], root[j]
                 root[:] = [min(x, y) if r in (x, y) else r for r in root]
         assert want == got
+
+
+def test_op4_index_tells_equal_row_numbers_of_two_batches_apart(spark, docs):
+    path = scratch_path(spark, "index")
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, text string").coalesce(1)
+    again = first.select((F.col("doc_id") + 100).alias("doc_id"), "text")
+    assert {r.doc_id for r in exact_dedup.kept_rows(first, path).collect()} == {1, 3}
+    assert [(r.keep_id, r.kept) for r in exact_dedup.dedup(again, path).orderBy("doc_id").collect()] == [(1, False), (3, False), (3, False)]
+    assert exact_dedup.kept_rows(again, path).count() == 0
