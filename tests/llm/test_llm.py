@@ -354,3 +354,45 @@ def test_op4_index_tells_equal_row_numbers_of_two_batches_apart(spark, docs):
     assert {r.doc_id for r in exact_dedup.kept_rows(first, path).collect()} == {1, 3}
     assert [(r.keep_id, r.kept) for r in exact_dedup.dedup(again, path).orderBy("doc_id").collect()] == [(1, False), (3, False), (3, False)]
     assert exact_dedup.kept_rows(again, path).count() == 0
+
+
+def test_pipeline_run_equals_brute_force(spark, ids):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    stems = {"en": ["the", "ing", "tion", "was", "her"], "fr": ["eau", "que", "les", "ment", "oux"]}
+    data = []
+    for i in range(80):
+        lang = rng.choice(list(stems))
+        data.append((i, " ".join("".join(rng.choices(stems[lang], k=3)) for _ in range(rng.choice([40, 120, 700]))), lang, "s"))
+    for i in range(80, 100):  # exact copies, and near ones on both sides of 0.8
+        text = data[i - 80][1].split(" ")
+        for at in rng.sample(range(len(text)), 0 if i < 90 else 1 if i < 95 else len(text) // 4):
+            text[at] = "theing"
+        data.append((i, " ".join(text), data[i - 80][2], "s"))
+    data += [(200, None, "en", "s"), (201, "12 34", "en", "s"), (202, "", None, "s")]
+
+    told = [r for r in data if any(map(str.isalpha, r[1] or ""))]
+    last = {r[1]: r for r in sorted(told)}
+    exact = list(last.values())
+    names = near_names(exact)
+    assert len(told) == 100 and len(exact) == 90 and 75 < len(names) < 90
+    # A single source's target is its size: every document once and whole.
+    want = collections.Counter()
+    for i, text, _, _ in exact:
+        if i in names:
+            whole = np.array([*ids(text), END_ID], "<u4")
+            cuts = [0, *range(len(whole) - (len(whole) - 1) // 1024 * 1024, len(whole) + 1, 1024)]
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                want[(i, p, a, b - a, zlib.crc32(whole[a:b].tobytes()))] += 1
+
+    sf_dir = scratch_path(spark, "sf")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.repartition(3).write.parquet(f"{sf_dir}/documents.parquet")
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    at = collections.Counter()
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 1024
