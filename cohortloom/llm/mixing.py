@@ -225,10 +225,16 @@ def _slots(spark, made: Mixture, block: int, shards: int, seed: int) -> DataFram
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of each row of ``docs``."""
+    """``doc_id, size, source_size, target, taken, shards`` of each row of ``docs``.
+
+    ``shards`` has the words that each drawn shard takes of the row, by shard.
+    """
     stream, mixture = mix(docs, **options)
-    sums = mixture.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return stream.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    by_shard = mixture.groupBy("row", "shard").agg(F.sum("n_words").alias("n_words"))
+    sums = by_shard.groupBy("row").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "n_words"))).alias("shards"))
+    told = stream.join(sums, "row", "left")
+    none = F.array().cast("array<struct<shard:int,n_words:bigint>>")
+    return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def _cut(text: pa.Array, size: pa.Array, stretches: pa.Array) -> pa.Array:

@@ -396,3 +396,19 @@ def test_pipeline_run_equals_brute_force(spark, ids):
         assert r.offset == at[r.sequence_id]
         at[r.sequence_id] += r.length
     assert max(at.values()) <= 1024
+
+
+def test_op9_shards_hold_what_was_drawn(spark):
+    data = [(i, "w " * (40 + i), "abc"[i % 3]) for i in range(90)]
+    found = mixing.taken(spark.createDataFrame(data, "doc_id long, text string, source string"), block=16, shards=5).collect()
+    sizes = [(s, sum(40 + i for i in range(90) if "abc"[i % 3] == s)) for s in "abc"]
+    made = mixing.draw(sizes, 16, 5, mixing.SEED, mixing.WEIGHTS)
+    got = collections.Counter()
+    for r in found:
+        assert sum(x.n_words for x in r.shards) == r.taken
+        for x in r.shards:
+            got[("abc"[r.doc_id % 3], x.shard)] += x.n_words
+    # A source's last slot and its last block are shorter: by less than a block each time.
+    for i, s in enumerate("abc"):
+        for k in range(5):
+            assert 0 <= 16 * made.counts[i][k] - got[(s, k)] < 16 * 4
