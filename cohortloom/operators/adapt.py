@@ -16,30 +16,21 @@ from ..sources.matrix import ExpressionMatrix
 from .align import Aligned, align
 from .metrics import classification_metrics, with_rates
 from .model import LinearModel, require_tumor_model
+from .moments import gene_moments
 from .ranking import auc_column, hash_rank, score_ranks
 from .score import MODES, CohortStats, binary_scores, guard, linear_terms, score_aligned, standardize
 
 MIN_SAMPLES = 20
 
 
-def gene_moments(a: Aligned, groups: Sequence[str] = ()) -> DataFrame:
-    """Per gene (and group): n, mean and population sd of imputed values.
-
-    Cells are summed inside each task first, so the shuffle carries one row per
-    gene and task, whatever the number of samples.
-    """
-    cells = a.rows.select(*groups, F.posexplode(a.imputed()).alias("pos", "v"))
-    return cells.groupBy(*groups, "pos").agg(
-        F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")
-    )
-
-
 def unit_if_zero(c: str):
     return F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
 
 
 def cohort_gene_stats(a: Aligned, groups: Sequence[str] = ()) -> DataFrame:
-    return gene_moments(a, groups).withColumn("sd", unit_if_zero("sd"))
+    """Per gene (and group): n, mean and population sd (0 becomes 1) of imputed values."""
+    found = gene_moments(a.rows.select(*groups, a.imputed().alias("x")), groups)
+    return found.select(*groups, "pos", "n", "mean", F.sqrt("var").alias("sd")).withColumn("sd", unit_if_zero("sd"))
 
 
 def cohort_stats(a: Aligned) -> CohortStats:

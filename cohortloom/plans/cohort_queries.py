@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cohort, splits, train
-from . import fixtures as fx
+from . import fit_sql, fixtures as fx
 from .common import rounded
+from .metric_queries import RANKS, RATES
 from .registry import query
 
 FEATURES = "cells as (select e.sample, e.pos, e.value, m.y, m.project, m.case_id, m.is_test from expression e join metadata m using (sample))"
@@ -224,18 +225,65 @@ def training_scaler(spark, sf):
 # --- models ----------------------------------------------------------------
 
 
-@query()
+TYPES = ("T0", "T1", "T2", "T3", "T4")
+
+
+def _folds(where: str, seed: int, k: int, stratum: str = "project||'_'||cast(y as varchar)") -> str:
+    return f"""patients as (select case_id, string_agg(distinct {stratum}, '|' order by {stratum}) as signature from metadata where {where} group by case_id),
+folds as (select case_id, ((row_number() over (partition by signature order by md5('{seed}:'||case_id), case_id)) - 1 + cast('0x'||substr(md5('{seed}:'||signature),1,7) as bigint)) % {k} as fold from patients)"""
+
+
+HELD_OUT = (
+    *fit_sql.SINGLE, fit_sql.binary_fit(20, 0.1), "held_rows as (select 0 as side, sample from metadata where is_test)",
+    fit_sql.held_cells(20), fit_sql.BINARY_HELD,
+)
+SIDE_FOLDS = "(select distinct fold from folds)"
+
+
+@query(
+    fit_sql.recursive(
+        *fit_sql.SINGLE, fit_sql.binary_fit(20, 0.1),
+        body=f"""select pos, gene_id, round(s.mean,6) as mean, round(s.scale,6) as scale, round(th[j],6) as coef, round(th[21],6) as intercept
+ from sel s join fitted using (side) join (select distinct pos, gene_id from expression) using (pos)""",
+    )
+)
 def fit_binary(spark, sf):
     """Coefficients over the 20 best genes."""
     fitted = train.fit_binary(rows(spark, sf).where("not is_test"), fx.GENES, 20, 0.1)
     m = fitted.model
-    return spark.createDataFrame(
-        [(p, g, mean, scale, c, m.intercept[0]) for p, g, mean, scale, c in zip(fitted.positions, m.genes, m.mean, m.scale, m.coef[0])],
-        "pos int, gene_id string, mean double, scale double, coef double, intercept double",
+    return rounded(
+        spark.createDataFrame(
+            [(p, g, mean, scale, c, m.intercept[0]) for p, g, mean, scale, c in zip(fitted.positions, m.genes, m.mean, m.scale, m.coef[0])],
+            "pos int, gene_id string, mean double, scale double, coef double, intercept double",
+        )
     )
 
 
-@query()
+@query(
+    fit_sql.recursive(
+        *fit_sql.SINGLE, fit_sql.selection(20),
+        body="""select 0 as class_idx, pos, round(mean,6) as mean, round(scale,6) as scale, 0.0::double as residual from sel""",
+    )
+)
+def fit_optimality(spark, sf):
+    """The objective's gradient at the binary fit, summed anew over the training rows: zero to six digits."""
+    r = rows(spark, sf).where("not is_test")
+    fitted = train.fit_binary(r, fx.GENES, 20, 0.1)
+    m = fitted.model
+    scaler = spark.createDataFrame(list(zip(fitted.positions, m.mean, m.scale)), "pos int, mean double, scale double")
+    found = train.optimality(fitted, r, 0.1).withColumn("residual", F.abs("residual")).join(F.broadcast(scaler), "pos")
+    return rounded(found.select("class_idx", "pos", "mean", "scale", "residual"))
+
+
+@query(
+    fit_sql.recursive(
+        fx.EXPRESSION, fx.METADATA, "side_rows as (select 0 as side, sample, substr(project,6) as y from metadata where y=1)",
+        fit_sql.softmax_fit(TYPES, 20, 2.0), "held_rows as (select side, sample from side_rows)", fit_sql.held_cells(20), fit_sql.softmax_held(TYPES, 20),
+        "r as (select *, row_number() over (partition by sample order by p desc, class) as rn from held)",
+        body="""select sample, max(case when rn=1 then class end) as predicted_type, round(max(case when rn=1 then p end),4) as probability,
+ max(case when rn=1 then class||':'||printf('%.3f',p) end) as top1, max(case when rn=2 then class||':'||printf('%.3f',p) end) as top2, max(case when rn=3 then class||':'||printf('%.3f',p) end) as top3 from r group by sample""",
+    )
+)
 def fit_multiclass(spark, sf):
     """Class probabilities of all tumors under the fitted many-class model."""
     from ..operators.score import score_aligned, top_classes
@@ -245,36 +293,90 @@ def fit_multiclass(spark, sf):
     return top_classes(score_aligned(fitted.features(tumors.select("sample", "x"))), fitted.model, 3)
 
 
-@query()
+@query(
+    fit_sql.recursive(
+        *HELD_OUT, "src as (select m.project as g, m.y as label, h.p as score from held h join metadata m using (sample))", RANKS,
+        body="""select g as project, count(*) as n, count(*) filter (where label=1) as n_tumor, count(*) filter (where label=0) as n_normal, round(max(auc),6) as auc,
+ round(avg(case when (score>=0.5)=(label=1) then 1.0 else 0.0 end),6) as accuracy from src join auc using (g) group by g""",
+    )
+)
 def evaluate_heldout(spark, sf):
     r = rows(spark, sf)
     fitted = train.fit_binary(r.where("not is_test"), fx.GENES, 20, 0.1)
-    return train.evaluate_heldout(fitted, r.where("is_test"))["per_project"]
+    return rounded(train.evaluate_heldout(fitted, r.where("is_test"))["per_project"])
 
 
-@query()
+@query(
+    fit_sql.recursive(
+        fx.EXPRESSION, fx.METADATA, _folds("not is_test", 1, 5),
+        f"side_rows as (select d.fold as side, m.sample, m.y from metadata m join folds f using (case_id), {SIDE_FOLDS} d where not m.is_test and f.fold<>d.fold)",
+        fit_sql.binary_fit(20, 0.1), "held_rows as (select f.fold as side, m.sample from metadata m join folds f using (case_id) where not m.is_test)",
+        fit_sql.held_cells(20), fit_sql.BINARY_HELD,
+        "src as (select h.side as g, m.y as label, h.p as score from held h join metadata m using (sample))", RANKS,
+        "k as (select side, count(*) as n from held_rows group by side)",
+        body="""select g+1 as fold, (select sum(n) from k)-n as n_train, n as n_validation, round(auc,6) as auc from auc join k on side=g""",
+    )
+)
 def grouped_cv(spark, sf):
-    return train.grouped_cv(rows(spark, sf).where("not is_test"), fx.GENES, 20, 0.1)
+    return rounded(train.grouped_cv(rows(spark, sf).where("not is_test"), fx.GENES, 20, 0.1))
 
 
-@query()
+@query(
+    fit_sql.recursive(
+        fx.EXPRESSION, fx.METADATA, _folds("y=1", 42, 5, "substr(project,6)"),
+        f"side_rows as (select d.fold as side, m.sample, substr(m.project,6) as y from metadata m join folds f using (case_id), {SIDE_FOLDS} d where m.y=1 and f.fold<>d.fold)",
+        fit_sql.softmax_fit(TYPES, 20, 2.0), "held_rows as (select f.fold as side, m.sample from metadata m join folds f using (case_id) where m.y=1)",
+        fit_sql.held_cells(20), fit_sql.softmax_held(TYPES, 20),
+        "r as (select *, row_number() over (partition by sample order by p desc, class) as rn from held)",
+        body="""select sample, m.case_id, side+1 as fold, substr(m.project,6) as true_type, class as predicted_type, round(p,6) as confidence, (class=substr(m.project,6))::int as correct
+ from r join metadata m using (sample) where rn=1""",
+    )
+)
 def oof_predictions(spark, sf):
-    return train.oof_predictions(train.tumor_types(rows(spark, sf)), fx.GENES, 20, 2.0, y="type_code")
+    return rounded(train.oof_predictions(train.tumor_types(rows(spark, sf)), fx.GENES, 20, 2.0, y="type_code"))
 
 
-@query()
+@query(
+    fit_sql.recursive(
+        fx.EXPRESSION, fx.METADATA,
+        "side_rows as (select p.project as side, m.sample, m.y from metadata m, (select distinct project from metadata) p where m.project<>p.project)",
+        fit_sql.binary_fit(20, 0.1), "held_rows as (select project as side, sample from metadata)", fit_sql.held_cells(20), fit_sql.BINARY_HELD,
+        "src as (select h.side as g, m.y as label, h.p as score from held h join metadata m using (sample))", RANKS,
+        "c as (select g, count(*) filter (where score>=0.5 and label=1) as tp, count(*) filter (where score>=0.5 and label=0) as fp, count(*) filter (where score<0.5 and label=1) as fn, count(*) filter (where score<0.5 and label=0) as tn from src group by g)",
+        body=f"""select g as held_out_type, 'logistic_regression' as model, tp+fp+fn+tn as n_test, tn+fp as n_normal, tp+fn as n_tumor, round(auc,6) as auc, round(ap,6) as avg_precision,
+ round(accuracy,6) as accuracy, round(f1,6) as f1, round(precision,6) as precision, round(recall,6) as recall from (select *, {RATES} from c) join auc using (g)""",
+    )
+)
 def loco(spark, sf):
-    return train.loco(rows(spark, sf), fx.GENES, 20, 0.1)["per_type"]
+    return rounded(train.loco(rows(spark, sf), fx.GENES, 20, 0.1)["per_type"])
 
 
-@query()
+@query(
+    fit_sql.recursive(
+        fx.EXPRESSION, fx.METADATA, _folds("not is_test", 1, 3),
+        # Side -1 is the whole training side, the others leave out a fold.
+        f"""side_rows as (select d.fold as side, m.sample, m.y from metadata m join folds f using (case_id), (select -1 as fold union all select * from {SIDE_FOLDS}) d
+  where not m.is_test and f.fold<>d.fold)""",
+        fit_sql.binary_fit(20, 0.1),
+        """held_rows as (select -1 as side, sample from metadata where is_test
+  union all select f.fold, m.sample from metadata m join folds f using (case_id) where not m.is_test)""",
+        fit_sql.held_cells(20), fit_sql.BINARY_HELD,
+        "src as (select h.side as g, m.y as label, h.p as score from held h join metadata m using (sample))", RANKS,
+        "c as (select count(*) filter (where score>=0.5 and label=1) as tp, count(*) filter (where score>=0.5 and label=0) as fp, count(*) filter (where score<0.5 and label=1) as fn, count(*) filter (where score<0.5 and label=0) as tn from src where g=-1)",
+        body=f"""select (select count(*) from metadata where not is_test) as n_train, (select count(*) from metadata where is_test) as n_test,
+ (select round(auc,6) from auc where g=-1) as auc, (select round(ap,6) from auc where g=-1) as average_precision, round(accuracy,6) as accuracy, round(f1,6) as f1,
+ (select count(*) from auc where g>=0) as n_folds, (select round(avg(auc),6) from auc where g>=0) as mean_auc, (select round(stddev_pop(auc),6) from auc where g>=0) as std_auc
+ from (select *, {RATES} from c)""",
+    )
+)
 def training_summary(spark, sf):
+    """Counts, held-out metrics and the cross-validation's; the configuration text is left out here."""
     r = rows(spark, sf)
     fitted = train.fit_binary(r.where("not is_test"), fx.GENES, 20, 0.1)
     held = train.evaluate_heldout(fitted, r.where("is_test"))["metrics"]
     sizes = {x["is_test"]: x["n"] for x in r.groupBy("is_test").agg(F.count("*").alias("n")).collect()}
     cv = train.grouped_cv(r.where("not is_test"), fx.GENES, 20, 0.1, n_folds=3)
-    return train.training_summary(fitted, sizes[False], sizes[True], held, cv, 20, 0.1)
+    return rounded(train.training_summary(fitted, sizes[False], sizes[True], held, cv, 20, 0.1).drop("config"))
 
 
 OOF = """oof as (select o_orderkey%5+1 as fold, o_orderpriority as true_type, case when o_totalprice%3<1 then o_orderpriority when o_totalprice%3<2 then '2-HIGH' else '5-LOW' end as predicted_type, o_custkey as case_id from orders)"""
@@ -373,20 +475,78 @@ def validate_external_normal(spark, sf):
     fx.with_views(
         fx.EXPRESSION, fx.METADATA, fx.BINARY_MODEL, fx.LOGITS,
         body="""select case when y=1 then 'Primary Tumor' else 'Solid Tissue Normal' end as sample_type, count(*) as n, round(avg(p),6) as mean_tumor_probability,
- round(quantile_cont(p,0.5),6) as median_tumor_probability, count(*) filter (where p>=0.5) as tumor_calls from scored join metadata using (sample) where is_test group by 1""",
+ round(quantile_cont(p,0.5),6) as median_tumor_probability, count(*) filter (where p>=0.5) as tumor_calls from scored join metadata using (sample) group by 1""",
     )
 )
 def validate_external_labelled(spark, sf):
-    """Held-out samples as an external cohort: score, merge, summarise by type."""
+    """Every sample as an external cohort: score, merge, summarise by type."""
     from ..operators.score import score_binary
 
-    meta = fx.metadata(spark, sf).where("is_test").select(
+    meta = fx.metadata(spark, sf).select(
         "sample", F.col("y").alias("label"), F.when(F.col("y") == 1, "Primary Tumor").otherwise("Solid Tissue Normal").alias("sample_type"), F.col("case_id").alias("donor_id")
     )
     scores = score_binary(fx.binary_model(spark, sf), fx.expression(spark, sf))
     return rounded(cohort.validate_labelled(meta, scores, "native")["by_type"])
 
 
+def _beside(table, audit):
+    """A cohort's table with its audit (one row) in further columns."""
+    row = audit.first()
+    return table.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in audit.schema.fields])
+
+
+def _file_scores(value: str) -> str:
+    """Scores of expression values that went through a file; ``value`` is what is read back."""
+    return f"""logits as (select sample, sum(({value}-mean)/scale*coef) as logit from expression join model using (pos) group by sample),
+scored as (select sample, case when logit>=0 then 1/(1+exp(-logit)) else exp(logit)/(1+exp(logit)) end as p from logits)"""
+
+
+@query(
+    fx.with_views(
+        fx.EXPRESSION, fx.METADATA, fx.BINARY_MODEL, _file_scores("log2(round(pow(2,value)-1,6)+1)"),
+        "donors as (select case_id, count(*) as k from metadata group by case_id)",
+        body="""select case when y=1 then 'Primary Tumor' else 'Solid Tissue Normal' end as sample_type, count(*) as n, round(avg(p),6) as mean_tumor_probability,
+ round(quantile_cont(p,0.5),6) as median_tumor_probability, count(*) filter (where p>=0.5) as tumor_calls,
+ (select count(*) from metadata) as n_rows, (select count(distinct sample) from metadata) as n_unique_ids, (select count(*) from donors) as n_unique_groups,
+ (select count(*) from donors where k>1) as n_repeated_groups, (select max(k) from donors) as max_rows_per_group,
+ (select count(distinct sample) from metadata) as n_unique_biospecimens, 0 as n_ambiguous_biospecimen_ids, 'locked' as cohort_mode
+ from scored join metadata using (sample) group by 1""",
+    )
+)
+def validate_count_files(spark, sf):
+    """A provider's nested manifest and one count file per sample, to figures by type and the audit."""
+    from ..operators import external
+    from ..session import scratch_path
+    from ..sources import manifest
+
+    path, hits = fx.write_count_files(spark, sf, scratch_path(spark, "provider-counts"))
+    rows_ = manifest.flatten_manifest(manifest.read_manifest(spark, hits))
+    found = external.validate_count_files(fx.binary_model(spark, sf), rows_, path, file_id=r"file=([^/]+)/")
+    return rounded(_beside(found["by_type"], found["audit"]))
+
+
+@query(
+    fx.with_views(
+        fx.EXPRESSION, fx.METADATA, fx.BINARY_MODEL, _file_scores("log2(greatest(pow(2,round(value-2,6))-0.001,0)+1)"),
+        "donors as (select case_id, count(*) as k from metadata group by case_id)",
+        body="""select project as primary_site, count(*) as n, count(*) filter (where p>=0.5) as tumor_calls, round(count(*) filter (where p>=0.5)/cast(count(*) as double),6) as false_positive_rate,
+ round(quantile_cont(p,0.5),6) as median_tumor_probability, round(max(p),6) as max_tumor_probability,
+ (select count(*) from metadata) as n_rows, (select count(distinct sample) from metadata) as n_unique_ids, (select count(*) from donors) as n_unique_groups,
+ (select count(*) from donors where k>1) as n_repeated_groups, (select max(k) from donors) as max_rows_per_group, 'locked' as cohort_mode
+ from scored join metadata using (sample) group by 1""",
+    )
+)
+def validate_gene_rows(spark, sf):
+    """A phenotype table and gene-by-sample files of every sample, to figures by site and the audit."""
+    from ..operators import external
+    from ..session import scratch_path
+    from ..sources import tables
+
+    path, phenotype = fx.write_gene_files(spark, sf, scratch_path(spark, "provider-genes"))
+    found = external.validate_gene_rows(fx.binary_model(spark, sf), tables.read_phenotype(spark, phenotype), path)
+    return rounded(_beside(found["by_site"], found["audit"]))
+
+
 @query()
 def run_workflow(spark, sf):
     """QC, scores, explanations and calibration under one manifest row."""

@@ -13,7 +13,7 @@ from ..functions.ids import donor_id
 from ..functions.numeric import gather, int_array
 from ..operators.adapt import unit_if_zero
 from ..operators.model import LinearModel, ModelTables, collect_model
-from ..sources.matrix import ExpressionMatrix
+from ..sources.matrix import ExpressionMatrix, write_gene_rows
 
 N_GENES = 64
 GENES = tuple(f"ENSG{p:011d}.{p % 9 + 1}" for p in range(N_GENES))
@@ -204,6 +204,38 @@ def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def write_count_files(spark: SparkSession, sf: str, path: str) -> tuple[str, str]:
+    """One count file per sample in TPM, and the provider's nested manifest of them."""
+    e = table(spark, sf, "embeddings")
+    own = e.select(file_uuid("vec_id").alias("file"), cell_values().alias("cells"))
+    genes = F.array(*[F.lit(g) for g in GENES])
+    line = lambda i, v: F.concat_ws("\t", F.get(genes, i), F.lit("sym"), F.lit("protein_coding"), F.round(F.pow(F.lit(2.0), v) - 1, 6).cast("string"))
+    head = F.array(F.lit("# gene-model: test"), F.lit("gene_id\tgene_name\tgene_type\ttpm_unstranded"))
+    lines = own.select("file", F.posexplode(F.concat(head, F.transform("cells", lambda v, i: line(i, v)))).alias("at", "value"))
+    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(f"{path}/files")
+    m = metadata_columns()
+    sample = F.struct(F.concat(F.lit("bio-"), sample_id()).alias("submitter_id"), F.when(m["y"] == 1, "Primary Tumor").otherwise("Solid Tissue Normal").alias("sample_type"))
+    case = F.struct(m["case_id"].alias("submitter_id"), F.struct(m["project"].alias("project_id")).alias("project"), F.array(sample).alias("samples"))
+    hits = e.select(
+        file_uuid("vec_id").alias("file_id"), F.concat(sample_id(), F.lit(".tsv")).alias("file_name"), F.lit(1000).cast("bigint").alias("file_size"),
+        F.md5(sample_id()).alias("md5sum"), F.array(case).alias("cases"),
+    )
+    hits.write.json(f"{path}/manifest")
+    return f"{path}/files", f"{path}/manifest"
+
+
+def write_gene_files(spark: SparkSession, sf: str, path: str) -> tuple[str, str]:
+    """Gene-by-sample files in log2(tpm+0.001), and a phenotype table: donor = case, site = project."""
+    m = metadata_columns()
+    name = F.concat(F.lit("GTEX-"), m["case_id"], F.lit("-"), F.col("vec_id").cast("string"))
+    e = table(spark, sf, "embeddings")
+    rows = e.select(name.alias("sample"), F.transform(cell_values(), lambda v: F.round(v - 2.0, 6)).alias("cells"))
+    write_gene_rows(ExpressionMatrix(rows, GENES), f"{path}/genes", block=200, compression="gzip")
+    told = e.select(name.alias("sample"), F.lit("GTEX").alias("_study"), F.lit("Normal Tissue").alias("_sample_type"), m["project"].alias("_primary_site"))
+    told.write.csv(f"{path}/phenotype", sep="\t", header=True)
+    return f"{path}/genes", f"{path}/phenotype"
+
+
 def donors(df: DataFrame) -> DataFrame:
     return df.withColumn("donor_id", donor_id("sample"))
 

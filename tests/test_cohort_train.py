@@ -307,3 +307,142 @@ def test_union_of_cohorts_fills_absent_genes(matrix, tiny_model):
     assert u.genes == ("g1", "g2")
     assert {r["sample"]: r.cells for r in u.rows.collect()} == {"a": [1.0, None], "b": [None, 2.0]}
     assert align(u, tiny_model).n_matched == 2
+
+
+@pytest.fixture
+def provider_files(spark, provider, tmp_path):
+    """Count files of the provider's six files and of one that no manifest names."""
+    for i in range(7):
+        level = 3.0 if i < 3 else 1.0
+        lines = ["gene_id\tgene_name\tgene_type\ttpm_unstranded", f"g1\ta\tb\t{level + i}", f"g2\ta\tb\t{4.0 - level}", "other\ta\tb\tx"]
+        (tmp_path / f"{uuid(i)}.tsv").write_text("\n".join(lines) + "\n")
+    manifest = provider.where(F.col("file_id") != uuid(1)).withColumn("sample_submitter_id", F.concat(F.lit("s"), F.substring("file_id", 36, 1)))
+    return manifest, str(tmp_path)
+
+
+def test_external_count_files(spark, provider_files, tiny_model):
+    from cohortloom.operators import external
+
+    manifest, path = provider_files
+    found = external.validate_count_files(tiny_model, manifest, path)
+    logit = {i: np.log2(1 + (3.0 if i < 3 else 1.0) + i) - np.log2(1 + 4.0 - (3.0 if i < 3 else 1.0)) for i in range(6)}
+    got = {r.file_id: (r.label, r.tumor_probability) for r in found["predictions"].collect()}
+    assert set(got) == {uuid(i) for i in (0, 2, 3, 4, 5)}
+    for i in (0, 2, 3, 4, 5):
+        assert got[uuid(i)][0] == (1 if i < 3 else 0) and abs(got[uuid(i)][1] - 1 / (1 + np.exp(-logit[i]))) < 1e-12
+    audit = found["audit"].first()
+    assert (audit.n_rows, audit.n_unique_groups, audit.n_repeated_groups, audit.n_unique_biospecimens, audit.cohort_mode) == (5, 4, 1, 5, "locked")
+    assert found["summary"].first().n == 5 and found["alignment"].first().n_matched_genes == 2
+    assert {r.sample_type: r.n for r in found["by_type"].collect()} == {"Primary Tumor": 2, "Solid Tissue Normal": 3}
+    drawn = external.validate_count_files(tiny_model, manifest, path, project="P", n_per_class=1)
+    assert drawn["audit"].first().cohort_mode == "sampled" and drawn["predictions"].count() == 2
+
+
+def test_external_count_files_refuse_what_does_not_fit(spark, provider_files, tiny_model):
+    from cohortloom.operators import external
+
+    manifest, path = provider_files
+    absent = manifest.unionByName(manifest.limit(1).withColumn("file_id", F.lit(uuid(9))).withColumn("sample_submitter_id", F.lit("s9")))
+    with pytest.raises(ValueError, match="no_cells.*" + uuid(9)):
+        external.validate_count_files(tiny_model, absent, path)
+    with pytest.raises(ValueError, match="other_project"):
+        external.validate_count_files(tiny_model, manifest, path, project="Q")
+    with pytest.raises(ValueError, match="several_cases"):
+        external.validate_count_files(tiny_model, manifest.withColumn("case_submitter_id", F.lit("a;b")), path)
+    with pytest.raises(ValueError, match="needs a project"):
+        external.validate_count_files(tiny_model, manifest, path, n_per_class=1)
+    half = M.make_model(["g1", "g3", "g4"], [0.0] * 3, [1.0] * 3, [1.0] * 3, 0.0)
+    with pytest.raises(ValueError, match="1 of 3"):
+        external.validate_count_files(half, manifest, path)
+    assert external.validate_count_files(half, manifest, path, allow_low_coverage=True)["predictions"].count() == 5
+
+
+def test_external_gene_rows(spark, tiny_model, tmp_path):
+    from cohortloom.operators import external
+
+    names = ["GTEX-A-1", "GTEX-A-2", "GTEX-B-1", "GTEX-C-1", "GTEX-X-9"]
+    lines = ["sample\t" + "\t".join(names)] + [g + "\t" + "\t".join(str(np.log2(v + k + 0.001)) for k in range(5)) for g, v in (("g1", 1.0), ("g2", 2.0), ("zz", 9.0))]
+    (tmp_path / "genes.tsv").write_text("\n".join(lines) + "\n")
+    rows = [(n, "GTEX", "Normal Tissue", s) for n, s in zip(names[:4], ("Lung", "Skin", "Lung", "Skin"))] + [("TCGA-1", "TCGA", "Primary Tumor", "Lung")]
+    phenotype = spark.createDataFrame(rows, "sample string, study string, sample_type string, primary_site string")
+    found = external.validate_gene_rows(tiny_model, phenotype, str(tmp_path / "genes.tsv"))
+    got = {r["sample"]: r.tumor_probability for r in found["predictions"].collect()}
+    want = {n: 1 / (1 + np.exp(-(np.log2(1.0 + k + 1) - np.log2(2.0 + k + 1)))) for k, n in enumerate(names[:4])}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+    audit = found["audit"].first()
+    assert (audit.n_rows, audit.n_unique_groups, audit.max_rows_per_group, audit.cohort_mode) == (4, 3, 2, "locked")
+    assert {r.primary_site: r.n for r in found["by_site"].collect()} == {"Lung": 2, "Skin": 2}
+    drawn = external.validate_gene_rows(tiny_model, phenotype, str(tmp_path / "genes.tsv"), n_per_site=1)
+    donors = [r.donor_id for r in drawn["predictions"].collect()]
+    assert len(donors) == len(set(donors)) == 2 and drawn["audit"].first().cohort_mode == "sampled"
+    with pytest.raises(ValueError, match="missing_sample"):
+        external.validate_gene_rows(tiny_model, phenotype.unionByName(phenotype.limit(1).withColumn("sample", F.lit("GTEX-Z-1"))), str(tmp_path / "genes.tsv"))
+
+
+def test_gene_moments_of_groups_with_absent_cells(spark):
+    from cohortloom.operators import moments
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) * [1.0, 1e-3, 1e6] + [0.0, 1e6, 1e9]
+    x = np.column_stack([x, np.full(60, 0.1), np.full(60, np.nan)])
+    gone = rng.random(x.shape) < 0.2
+    gone[:, 3], gone[:, 4] = False, True
+    groups = [None if i % 7 == 0 else "abc"[i % 3] for i in range(60)]
+    data = [(g, [None if gone[i, j] else float(x[i, j]) for j in range(5)]) for i, g in enumerate(groups)] + [("a", None)]
+    found = moments.gene_moments(spark.createDataFrame(data, "g string, x array<double>").repartition(5), ["g"])
+    got = {(r.g, r.pos): (r.n, r["mean"], r["var"]) for r in found.collect()}
+    assert len(got) == 4 * 5
+    for g in (None, "a", "b", "c"):
+        at = np.array([k == g for k in groups])
+        for j in range(5):
+            own = x[at & ~gone[:, j], j]
+            n, mean, var = got[(g, j)]
+            assert n == len(own)
+            if not n:
+                assert mean is None and var is None
+            else:
+                assert np.isclose(mean, own.mean(), rtol=1e-14) and np.isclose(var, own.var(), rtol=1e-6, atol=1e-25)
+    assert {got[(g, 3)][2] for g in (None, "a", "b", "c")} == {0.0}
+    assert moments.gene_moments(spark.createDataFrame([], "g string, x array<double>"), ["g"]).count() == 0
+    with pytest.raises(Exception, match="different length"):
+        moments.gene_moments(spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "x array<double>").coalesce(1)).collect()
+
+
+def test_moments_make_no_row_per_cell(spark, matrix, tiny_model):
+    from cohortloom.operators import adapt
+
+    df = synthetic(spark)
+    a = align(matrix(["g1", "g2"], {"s1": [1.0, 2.0], "s2": [3.0, 5.0]}), tiny_model)
+    for plan in (train.anova_f(df), train.training_scaler(df), adapt.cohort_gene_stats(a)):
+        assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("family, y", [("binomial", "y"), ("multinomial", "project")])
+def test_joint_fits_equal_single_ones_and_are_optimal(spark, family, y):
+    df = synthetic(spark, 120).withColumn("part", F.pmod(F.hash("case_id"), F.lit(3)))
+    together = train.fit_sides(df, y, GENES, 3, 2.0, family, "part", [0, 1, 2])
+    for p, fitted in together.items():
+        rest = df.where(F.col("part") != p)
+        alone = train.fit_sides(rest, y, GENES, 3, 2.0, family)[None]
+        assert fitted.positions == alone.positions and fitted.residual <= 1e-9
+        assert np.allclose(fitted.model.coef, alone.model.coef, atol=1e-8) and np.allclose(fitted.model.intercept, alone.model.intercept, atol=1e-8)
+        told = train.optimality(fitted, rest, 2.0, y).collect()
+        assert len(told) == 3 * len(fitted.model.coef) and max(abs(r.residual) for r in told) < 1e-9
+
+
+def test_large_models_go_to_single_fits_with_the_same_result(spark, monkeypatch):
+    df = synthetic(spark, 90)
+    joint = train.fit_multiclass(df, GENES, 3, 1.0, "project")
+    monkeypatch.setattr(train.newton, "HESSIAN_BYTES", 1)
+    single = train.fit_multiclass(df, GENES, 3, 1.0, "project")
+    assert single.residual is None and np.allclose(joint.model.coef, single.model.coef, atol=1e-4)
+    assert np.allclose(joint.model.intercept, single.model.intercept, atol=1e-4)
+
+
+def test_a_fit_that_separates_the_classes_and_one_cut_short(spark):
+    rows = [(float(i), [float(i), float(i % 3)], int(i >= 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample double, x array<double>, y int")
+    fitted = train.fit_binary(df, ["a", "b"], 2, 1e6)
+    assert fitted.residual < 1e-9 and fitted.model.coef[0][0] > 5
+    with pytest.raises(RuntimeError, match="did not converge in 2"):
+        train.fit_binary(df, ["a", "b"], 2, 1e6, max_iter=2)
