@@ -141,9 +141,9 @@ def composition_bootstrap(
 ) -> DataFrame:
     """Balanced accuracy deployed and adapted, by tumor fraction of the batch.
 
-    Batches are drawn with replacement. A draw hashes to a rank in its class and
-    joins that sample; class sizes are two numbers. Each batch's gene statistics
-    are arrays joined back to its ``n`` rows.
+    Batches are drawn with replacement. The md5 of a draw's name gives a rank in its
+    class and joins that sample, so any engine can repeat the draws; class sizes are
+    two numbers. Each batch's gene statistics are arrays joined back to its ``n`` rows.
     """
     spark = a.rows.sparkSession
     sizes = {r[label]: r["n"] for r in a.rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -154,20 +154,15 @@ def composition_bootstrap(
     )
     size = F.when(F.col("label") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
     plan = draw_plan(spark, fractions, reps, n).withColumn(
-        "at", F.pmod(F.xxhash64(F.lit(seed), "fraction", "rep", "draw"), size)
+        "at", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("fraction", "rep", "draw")])), 1, 12), 16, 10).cast("bigint") % size
     )
     batch = ["fraction", "rep"]
     # Ids are drawn first; only drawn samples' cells are fetched.
     picked = materialize(plan.join(indexed, ["label", "at"]), "draws")
     values = a.rows.select("sample", a.imputed().alias("v"))
     drawn = picked.join(values.join(small_side(picked.select("sample").distinct()), "sample", "left_semi"), "sample")
-    stats = (
-        drawn.select(*batch, F.posexplode("v").alias("pos", "x"))
-        .groupBy(*batch, "pos")
-        .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-        .groupBy(*batch)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "m", unit_if_zero("s").alias("s")))).alias("st"))
-    )
+    moments = gene_moments(drawn.select(*batch, "v"), batch, "v").select(*batch, "pos", F.col("mean").alias("m"), F.sqrt("var").alias("s"))
+    stats = moments.groupBy(*batch).agg(F.array_sort(F.collect_list(F.struct("pos", "m", unit_if_zero("s").alias("s")))).alias("st"))
     model = a.model
     deployed = array_sum(linear_terms(standardize(F.col("v"), model), model.coef[0])) + model.intercept[0]
     z = F.zip_with("v", "st", lambda v, s: (v - s["m"]) / s["s"])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ids import SAMPLE_TYPE_LABELS, donor_id, draw_key, key_problem, valid_md5, valid_uuid
+from ..functions.ids import SAMPLE_TYPE_LABELS, donor_id, draw_key, key_problem, strip_version, valid_md5, valid_uuid
 from ..functions.numeric import as_number, is_finite
 from ..session import materialize, small_side
 from ..sources.matrix import ExpressionMatrix
@@ -111,18 +111,19 @@ def compare_locked(old: DataFrame, new: DataFrame, columns: Sequence[str], key:
 # --- draws -----------------------------------------------------------------
 
 
-def dedupe_first(df: DataFrame, order: str, *keys: str) -> DataFrame:
-    """First row by ``order`` per key, one key after the other.
+def dedupe_first(df: DataFrame, order: str, *keys: str, within: Sequence[str] = ()) -> DataFrame:
+    """First row by ``order`` per key (inside each of ``within``), one key after the other.
 
     ``min_by`` keeps one row per key in every task before the shuffle, so a key
     with a third of the rows costs no more than any other.
     """
     for key in keys:
-        others = [c for c in df.columns if c != key]
+        own = [*within, key]
+        others = [c for c in df.columns if c not in own]
         df = (
-            df.groupBy(key)
+            df.groupBy(*own)
             .agg(F.min_by(F.struct(*others), F.col(order)).alias("r"))
-            .select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in df.columns])
+            .select(*[F.col(c) if c in own else F.col(f"r.{c}").alias(c) for c in df.columns])
         )
     return df
 
@@ -131,30 +132,50 @@ def exclude_used(part: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return part.join(used.select(key).distinct(), key, "left_anti")
 
 
-def draw(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows in reproducible random order (a bounded top-n)."""
-    return df.orderBy(draw_key(seed, key), key).limit(n)
+def draw_in_turns(pool: DataFrame, turn: Column, group: str, donor: str, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows of each group in reproducible random order, no donor twice.
+
+    Groups with a smaller ``turn`` choose first. The result is that of drawing group by
+    group, found for all groups at once: each group names its ``n`` best rows left, a
+    donor named by several stays with the one whose turn comes first and leaves the
+    others, and groups that lost a donor name their next, until nobody is named twice.
+    What a donor holds only ever changes to an earlier turn, so later ones can be dropped
+    for good. A round is two jobs, and chains of losses, not groups, number the rounds.
+    A donor must have one row at most in a group. Every round is a written table.
+    """
+    left = materialize(pool.withColumns({"__turn": turn, "__draw": draw_key(seed, key)}), "draw-pool")
+    order = Window.partitionBy(group).orderBy("__draw", key)
+    while True:
+        named = left.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n)
+        holds = materialize(named.groupBy(donor).agg(F.min("__turn").alias("__held"), F.count("*").alias("__times")), "draw-holds")
+        if holds.where("__times > 1").isEmpty():
+            return named.select(*pool.columns)
+        keeps = F.col("__held").isNull() | (F.col("__turn") <= F.col("__held"))
+        left = materialize(left.join(holds.drop("__times"), donor, "left").where(keeps).drop("__held"), "draw-pool")
 
 
 def sample_per_class(df: DataFrame, n_per_class: int, seed: int, key: str = "file_id", biospecimen: str | None = "sample_submitter_id", donor: str = "case_submitter_id", sample_type: str = "sample_type", disjoint: bool = True) -> DataFrame:
     """Up to n donors per class, tumor side first; a donor serves one class.
 
-    Of several files per biospecimen, then per donor, the first by key counts. A
-    class without rows is an error. Each draw is written to the shared folder, so
-    the next class excludes what was drawn without drawing again.
+    Of several files per biospecimen, then per donor, the first by key counts, in each
+    class by itself. A class without rows, or without a donor left, is an error.
     """
     if n_per_class <= 0:
         raise ValueError("n_per_class must be positive")
-    parts: list[DataFrame] = []
-    for name, label in SAMPLE_TYPE_LABELS.items():
-        part = dedupe_first(df.where(F.col(sample_type) == name), key, *([biospecimen] if biospecimen else []), donor)
-        if disjoint and parts:
-            part = exclude_used(part, union_all(parts), donor)
-        picked = materialize(draw(part, n_per_class, seed, key).withColumn("label", F.lit(label)), "class-draw")
-        if picked.isEmpty():
+    own = df.where(F.col(sample_type).isin(*SAMPLE_TYPE_LABELS))
+    first = dedupe_first(own, key, *([biospecimen] if biospecimen else []), donor, within=[sample_type]).withColumn("label", type_label(sample_type))
+    if disjoint:
+        turns = F.create_map(*[F.lit(x) for i, name in enumerate(SAMPLE_TYPE_LABELS) for x in (name, i)])
+        drawn = draw_in_turns(first, turns[F.col(sample_type)], sample_type, donor, key, n_per_class, seed)
+    else:
+        order = Window.partitionBy(sample_type).orderBy(draw_key(seed, key), key)
+        drawn = first.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n_per_class).drop("__place")
+    drawn = materialize(drawn, "class-draw")
+    there = {r[0] for r in drawn.select(sample_type).distinct().collect()}  # two classes
+    for name in SAMPLE_TYPE_LABELS:
+        if name not in there:
             raise ValueError(f"no {name!r} rows to draw from")
-        parts.append(picked)
-    return union_all(parts)
+    return drawn
 
 
 def draw_project_files(manifest: DataFrame, project: str, n_per_class: int, seed: int, disjoint: bool = True) -> DataFrame:
@@ -196,28 +217,19 @@ def sample_per_site_overlapping(phenotype: DataFrame, n_per_site: int, min_site_
 
 
 def sample_per_site(phenotype: DataFrame, n_per_site: int, min_site_n: int, seed: int) -> DataFrame:
-    """Donor-disjoint draws, rarest site first.
-
-    The order of sites matters, so sites take turns; a turn is one anti-join
-    and one bounded top-n, and its result is written to the shared folder.
-    Turns number the tissue sites, not the rows.
-    """
+    """Donor-disjoint draws, rarest site first, as ``draw_in_turns``."""
     if n_per_site <= 0 or min_site_n <= 0:
         raise ValueError("n_per_site and min_site_n must be positive")
-    pool = materialize(site_donors(phenotype, min_site_n), "site-donors")
-    sites = pool.select("primary_site", "site_donors").distinct().orderBy("site_donors", "primary_site").collect()
-    if not sites:
+    pool = site_donors(phenotype, min_site_n)
+    drawn = materialize(draw_in_turns(pool, F.struct("site_donors", "primary_site"), "primary_site", "donor_id", "sample", n_per_site, seed), "site-draw")
+    counts = drawn.groupBy("primary_site").agg(F.count("*").alias("n"))
+    sites = pool.select("primary_site").distinct().join(counts, "primary_site", "left").select("primary_site", F.coalesce("n", F.lit(0)).alias("n"))
+    short = F.min_by(F.struct("primary_site", "n"), F.struct("n", "primary_site"))
+    total, worst = sites.agg(F.count("*"), short).first()
+    if not total:
         raise ValueError("no site has enough donors")
-    drawn: DataFrame | None = None
-    for r in sites:
-        part = pool.where(F.col("primary_site") == r["primary_site"])
-        if drawn is not None:
-            part = exclude_used(part, drawn, "donor_id")
-        picked = materialize(draw(part, n_per_site, seed, "sample"), "site-draw")
-        n = picked.count()
-        if n < min(n_per_site, min_site_n):
-            raise ValueError(f"site {r['primary_site']!r} has only {n} unused donors left")
-        drawn = picked if drawn is None else drawn.unionByName(picked)
+    if worst["n"] < min(n_per_site, min_site_n):
+        raise ValueError(f"site {worst['primary_site']!r} has only {worst['n']} unused donors left")
     return drawn
 
 
@@ -247,6 +259,19 @@ def expressed_genes(cells: DataFrame, min_tpm: float = 1.0, min_fraction: float
     )
 
 
+def genes_of_biotype(genes: DataFrame, annotation: DataFrame, biotypes: Sequence[str] = ("protein_coding",), gene: str = "gene_id", biotype: str = "gene_type") -> DataFrame:
+    """Rows of ``genes`` whose annotation has one of the biotypes.
+
+    An id counts as it stands where the annotation has it, else without its version. A
+    repeated id counts if one of its rows does; genes without annotation go.
+    """
+    told = annotation.select(F.col(gene).alias("__id"), F.coalesce(F.col(biotype).isin(*biotypes), F.lit(False)).alias("__is"))
+    exact = told.groupBy("__id").agg(F.bool_or("__is").alias("__exact"))
+    base = told.groupBy(strip_version("__id").alias("__base")).agg(F.bool_or("__is").alias("__loose"))
+    found = genes.join(exact, F.col(gene) == F.col("__id"), "left").join(base, strip_version(gene) == F.col("__base"), "left")
+    return found.where(F.coalesce("__exact", "__loose")).select(*genes.columns)
+
+
 # --- scores on cohorts -----------------------------------------------------
 
 

@@ -96,7 +96,7 @@ def gene_moments(rows: DataFrame, groups: Sequence[str] = (), x: str = "x") -> D
             }
         )
 
-    source = rows.select(key.alias("key"), F.col(x).cast("array<double>").alias("x")).where("x is not null")
+    source = rows.select(key.alias("key"), F.col(x).cast("array<double>").alias("x")).where(F.col("x").isNotNull())
     sums = source.mapInArrow(partial, "key string, block int, n array<long>, mean array<double>, ss array<double>")
     found = sums.groupBy("key", "block").applyInArrow(merge, "key string, pos int, n long, mean double, var double")
     kind = T.StructType([T.StructField(g, rows.schema[g].dataType) for g in groups])

@@ -143,6 +143,32 @@ def expressed_gene_filter(spark, sf):
     return rounded(cohort.expressed_genes(cells, 25.0, 0.5))
 
 
+@query(
+    fx.with_views(
+        fx.COUNTS,
+        """annotation as (select 'ENSG'||lpad(cast(g as varchar),11,'0')||'.'||cast(g%4+1 as varchar) as gene_id, case when g%5=0 then 'lncRNA' else 'protein_coding' end as gene_type
+  from (select distinct p_partkey%400 as g from part))""",
+        "expressed as (select gene_id, count(*) as n, avg(case when tpm>25 then 1.0 else 0.0 end) as fraction from counts group by gene_id having avg(case when tpm>25 then 1.0 else 0.0 end)>0.5)",
+        body="""select e.gene_id, n, round(fraction,6) as expressed_fraction from expressed e
+  where coalesce((select bool_or(gene_type='protein_coding') from annotation a where a.gene_id=e.gene_id),
+                 (select bool_or(gene_type='protein_coding') from annotation a where regexp_replace(a.gene_id,'\\.[0-9]+$','')=regexp_replace(e.gene_id,'\\.[0-9]+$','')), false)""",
+    )
+)
+def expressed_coding_genes(spark, sf):
+    """Expressed genes that an annotation file names protein-coding, by id or by id without version."""
+    from ..session import scratch_path
+    from ..sources.tables import read_table, write_table
+
+    g = F.col("p_partkey") % 400
+    told = fx.table(spark, sf, "part").select(
+        F.concat(F.lit("ENSG"), F.lpad(g.cast("string"), 11, "0"), F.lit("."), (g % 4 + 1).cast("string")).alias("gene_id"),
+        F.when(g % 5 == 0, "lncRNA").otherwise("protein_coding").alias("gene_type"),
+    ).distinct()
+    annotation = read_table(spark, write_table(told, scratch_path(spark, "annotation")), ["gene_id", "gene_type"])
+    cells = fx.counts(spark, sf).select("gene_id", "tpm")
+    return rounded(cohort.genes_of_biotype(cohort.expressed_genes(cells, 25.0, 0.5), annotation))
+
+
 @query(
     fx.with_views(
         fx.MANIFEST,

@@ -9,6 +9,7 @@ from ..operators import adapt, align as align_ops, cohort, explain as explain_op
 from . import fixtures as fx
 from .check_queries import DEGRADED_TOTALS, GENE_META, gene_meta
 from .common import rounded
+from .metric_queries import RANKS
 from .registry import query
 
 BINARY = (fx.EXPRESSION, fx.METADATA, fx.BINARY_MODEL)
@@ -635,7 +636,26 @@ def adaptation_benchmark(spark, sf):
     return adapt.adaptation_benchmark(cohorts)
 
 
-@query()
+@query(
+    fx.with_views(
+        *BINARY,
+        "fr as (select unnest([0.1,0.25,0.5,0.75,0.9]::double[]) as fraction)",
+        """plan as (select fraction, rep, draw, case when draw<greatest(1,least(79,cast(round(fraction*80) as int))) then 1 else 0 end as label
+  from fr, (select unnest(range(0,200)) as rep), (select unnest(range(0,80)) as draw))""",
+        "ranked as (select sample, y as label, row_number() over (partition by y order by md5('0:'||sample), sample)-1 as at from metadata)",
+        "sizes as (select y as label, count(*) as size from metadata group by y)",
+        """picked as (select p.fraction, p.rep, p.draw, p.label, r.sample from plan p join sizes s using (label) join ranked r
+  on r.label=p.label and r.at=cast('0x'||substr(md5('0:'||p.fraction||':'||p.rep||':'||p.draw),1,12) as bigint)%s.size)""",
+        "cells as (select p.*, e.pos, e.value from picked p join expression e using (sample))",
+        "st as (select fraction, rep, pos, avg(value) as m, case when stddev_pop(value)=0 then 1 else stddev_pop(value) end as s from cells group by fraction, rep, pos)",
+        """logits as (select fraction, rep, draw, any_value(label) as label, sum((value-mean)/scale*coef) as deployed, sum((value-m)/s*coef) as adapted
+  from cells join st using (fraction, rep, pos) join model using (pos) group by fraction, rep, draw)""",
+        "acc as (select fraction, rep, (avg((deployed>=0)::int) filter (where label=1)+avg((deployed<0)::int) filter (where label=0))/2 as bd, (avg((adapted>=0)::int) filter (where label=1)+avg((adapted<0)::int) filter (where label=0))/2 as ba from logits group by fraction, rep)",
+        "src as (select fraction||':'||rep as g, fraction, rep, label, adapted as score from logits)", RANKS,
+        body="""select a.fraction as tumor_fraction, 80 as cohort_n, round(avg(bd),4) as balanced_acc_deployed, round(avg(ba),4) as balanced_acc_adapted, round(avg(auc),4) as auc_adapted
+ from acc a join auc on g=a.fraction||':'||a.rep group by a.fraction""",
+    )
+)
 def composition_bootstrap(spark, sf):
     from ..sources.matrix import ExpressionMatrix
 

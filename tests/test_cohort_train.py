@@ -446,3 +446,33 @@ def test_a_fit_that_separates_the_classes_and_one_cut_short(spark):
     assert fitted.residual < 1e-9 and fitted.model.coef[0][0] > 5
     with pytest.raises(RuntimeError, match="did not converge in 2"):
         train.fit_binary(df, ["a", "b"], 2, 1e6, max_iter=2)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_draw_in_turns_equals_turn_by_turn(spark, seed):
+    import hashlib
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"k{i}", f"g{rng.randrange(8)}", f"d{rng.randrange(25)}") for i in range(160)]
+    rows = list({(g, d): (k, g, d) for k, g, d in rows}.values())
+    rank = lambda k: (hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k)
+    want, used = set(), set()
+    for g in sorted({g for _, g, _ in rows}):
+        best = sorted((k for k, own, d in rows if own == g and d not in used), key=rank)[:4]
+        want |= set(best)
+        used |= {d for k, _, d in rows if k in best}
+    pool = spark.createDataFrame(rows, "key string, grp string, donor string").repartition(3)
+    found = cohort.draw_in_turns(pool, F.col("grp"), "grp", "donor", "key", 4, seed).collect()
+    assert {r.key for r in found} == want and len({r.donor for r in found}) == len(found)
+
+
+def test_jobs_of_a_site_draw_do_not_follow_the_sites(spark):
+    def jobs(sites):
+        rows = [(f"GTEX-{s}x{d}-{s}", "GTEX", "Normal Tissue", f"site{s:02d}") for s in range(sites) for d in range(4)]
+        p = spark.createDataFrame(rows, "sample string, study string, sample_type string, primary_site string")
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        assert cohort.sample_per_site(p, 3, 2, 1).count() == 3 * sites
+        return spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
+
+    assert jobs(30) <= jobs(3) + 2
