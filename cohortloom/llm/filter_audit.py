@@ -87,9 +87,10 @@ def sketch(hashes: DataFrame, rows: int, most: int = MAX_CELLS) -> np.ndarray:
     return merged
 
 
-def _may_repeat(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+def met(hashes: np.ndarray, cells: np.ndarray, times: int) -> np.ndarray:
+    """Whether a sketch may have met each hash once or (2) more often; false only if it has not."""
     at = _cells(hashes, 4 * len(cells))
-    return ((cells[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3) > 1).all(axis=1)
+    return ((cells[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3) >= times).all(axis=1)
 
 
 def text_mask(text: bytes, points: int) -> int:
@@ -121,7 +122,7 @@ def masks(docs: DataFrame) -> DataFrame:
             for part in by_bytes(batch):
                 texts, points = part.column(2), pc.utf8_length(part.column(2)).to_pylist()
                 mask = [text_mask(t.as_buffer().to_pybytes(), n) for t, n in zip(texts, points)]
-                maybe = _may_repeat(np.asarray(part.column(3), np.int64), cells.value)
+                maybe = met(np.asarray(part.column(3), np.int64), cells.value, 2)
                 kept = texts.take(pa.array(np.arange(len(maybe)), mask=~maybe))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(mask, pa.int32()), kept], ["doc_id", "part", "mask", "text"])
 

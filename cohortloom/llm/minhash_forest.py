@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .components import components
+from .filter_audit import met, sketch
 from .near_copies import forest
 from .simhash import text_key
 from .tokens import by_bytes
@@ -29,8 +29,8 @@ SHINGLE = 2
 TREES, FLOOR = 24, 4
 SEED = 42
 # Classes and shingles in a tile.
-TILE = 256
-TILE_SHINGLES = 1 << 19
+TILE = 1024
+TILE_SHINGLES = 1 << 20
 
 _HASHES = 1 << 11
 _draw = np.random.default_rng(SEED)
@@ -85,15 +85,22 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, shingles`` (as bytes) of each class of ``wanted`` (``text_key, class``)."""
+    """``class, shingles`` (as bytes) of the classes of ``wanted`` (``text_key``), and of some more.
+
+    A sketch of the wanted keys goes to the tasks that read the texts, so that no text is
+    shuffled; its size is bounded, and those it lets through needlessly meet nothing.
+    """
+    cells = docs.sparkSession.sparkContext.broadcast(sketch(wanted.select("text_key"), wanted.count()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch):
+            asked = batch.filter(pa.array(met(np.asarray(batch.column(0), np.int64), cells.value, 1)))
+            for part in by_bytes(asked):
                 sets = [shingles(x.as_buffer().to_pybytes()).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["class", "shingles"])
+                keys = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets, pa.binary())], ["class", "shingles"])
 
-    texts = docs.select(text_key(), F.col("text").cast("string").alias("text")).join(wanted, "text_key").select("class", "text")
+    texts = docs.where("text is not null").select(text_key(), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(rows, "class long, shingles binary").dropDuplicates(["class"])
 
 
@@ -175,7 +182,7 @@ def _completed(crowded: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFra
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: links between ``class``es that join all pairs of the least similarity found by the forest."""
     sparse, crowded = regions(classes)
-    wanted = classes.join(sparse.unionByName(crowded).select("class").distinct(), "class", "left_semi").select(F.col("first.text_key").alias("text_key"), "class")
+    wanted = classes.join(sparse.unionByName(crowded).select("class").distinct(), "class", "left_semi").select(F.col("first.text_key").alias("text_key"))
     sets = materialize(_sets(docs, wanted), "shingles")
     candidates = sparse.select("region", "class", F.lit(0).cast("long").alias("block"))
     many = crowded.limit(1).count() > 0
