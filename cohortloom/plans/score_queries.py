@@ -652,7 +652,7 @@ def adaptation_benchmark(spark, sf):
   from cells join st using (fraction, rep, pos) join model using (pos) group by fraction, rep, draw)""",
         "acc as (select fraction, rep, (avg((deployed>=0)::int) filter (where label=1)+avg((deployed<0)::int) filter (where label=0))/2 as bd, (avg((adapted>=0)::int) filter (where label=1)+avg((adapted<0)::int) filter (where label=0))/2 as ba from logits group by fraction, rep)",
         "src as (select fraction||':'||rep as g, fraction, rep, label, adapted as score from logits)", RANKS,
-        body="""select a.fraction as tumor_fraction, 80 as cohort_n, round(avg(bd),4) as balanced_acc_deployed, round(avg(ba),4) as balanced_acc_adapted, round(avg(auc),4) as auc_adapted
+        body="""select a.fraction as tumor_fraction, 80 as cohort_n, round(round(avg(bd),10),4) as balanced_acc_deployed, round(round(avg(ba),10),4) as balanced_acc_adapted, round(round(avg(auc),10),4) as auc_adapted
  from acc a join auc on g=a.fraction||':'||a.rep group by a.fraction""",
     )
 )

@@ -476,3 +476,11 @@ def test_jobs_of_a_site_draw_do_not_follow_the_sites(spark):
         return spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
 
     assert jobs(30) <= jobs(3) + 2
+
+
+def test_genes_of_biotype_by_id_then_by_base(spark):
+    genes = spark.createDataFrame([("A.1",), ("B.2",), ("C.1",), ("D.1",), ("E",), ("F.9",)], "gene_id string")
+    told = [("A.1", "protein_coding"), ("A.2", "lncRNA"), ("B.7", "protein_coding"), ("C.1", "lncRNA"), ("C.5", "protein_coding"), ("D.2", None), ("E.4", "lncRNA"), ("E.5", "protein_coding")]
+    found = cohort.genes_of_biotype(genes, spark.createDataFrame(told, "gene_id string, gene_type string"))
+    assert sorted(r.gene_id for r in found.collect()) == ["A.1", "B.2", "E"]
+    assert cohort.genes_of_biotype(genes, spark.createDataFrame([], "gene_id string, gene_type string")).count() == 0
