@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -193,13 +194,14 @@ def test_composition_bootstrap_matches_numpy(matrix):
 
     spark = rows.sparkSession
     order = {(r.label, r.draw_rank - 1): r["sample"] for r in hash_rank(rows.select("sample", "label"), "sample", 3, ["label"]).collect()}
-    plan = adapt.draw_plan(spark, (0.25, 0.5), 4, 8).withColumn("at", F.pmod(F.xxhash64(F.lit(3), "fraction", "rep", "draw"), F.lit(20))).collect()
+    plan = adapt.draw_plan(spark, (0.25, 0.5), 4, 8).collect()
+    at = lambda q: int(hashlib.md5(f"3:{q.fraction}:{q.rep}:{q.draw}".encode()).hexdigest()[:12], 16) % 20
     for r in got:
         base, da, auc = [], [], []
         for rep in range(4):
             batch = [q for q in plan if q.fraction == r.tumor_fraction and q.rep == rep]
             assert len(batch) == 8 and sum(q.label for q in batch) == round(8 * r.tumor_fraction)
-            xs = np.array([x[int(order[q.label, q.at][1:])] for q in batch])
+            xs = np.array([x[int(order[q.label, at(q)][1:])] for q in batch])
             ys = np.array([q.label for q in batch])
             sd = xs.std(0)
             sd[sd == 0] = 1
