@@ -7,14 +7,16 @@ anti-join (the index side needs no shuffle), and the others are appended.
 
 from __future__ import annotations
 
-import re
+import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
 from .rows import kept_once
 
+FORMAT = "sha256-keep-1"
 _COLUMNS = "digest binary, keep_id bigint, keep_row bigint, keep_batch string"
 
 
@@ -26,19 +28,41 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """The first keeper of every text seen so far, stored at ``path``.
 
-    The folder outlives the session: opening it again with the same number of
-    buckets goes on where it ended. ``buckets`` is the session's number of shuffle
-    partitions where not given, so that new digests meet it without a further shuffle.
+    The folder outlives the session. Its ``spec`` states the number of buckets it was made
+    with; opening it again, in any session, uses that number. ``buckets`` (the session's
+    shuffle partitions where not given) counts for a new index only, and is refused where
+    it differs from an old one's, as is another format. The catalog's name for the table
+    is a hash of the whole path.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        path = path.rstrip("/")
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = "digest_index_" + re.sub(r"\W", "_", path.rstrip("/").rpartition("/")[2])
+        self.buckets = self._stored() or self._made(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the index at {path} has {self.buckets} buckets, not {buckets}")
+        self.table = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:32]
         spark.sql(
             f"create table if not exists {self.table} ({_COLUMNS}) using parquet "
-            f"clustered by (digest) sorted by (digest) into {self.buckets} buckets location '{path}'"
+            f"clustered by (digest) sorted by (digest) into {self.buckets} buckets location '{path}/entries'"
         )
+        spark.catalog.refreshTable(self.table)
+
+    def _stored(self) -> int | None:
+        """The number of buckets that the folder states; none where there is no index yet."""
+        try:
+            found = self.spark.read.schema("format string, buckets int").json(f"{self.path}/spec").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        if len(found) != 1 or found[0]["format"] != FORMAT or not found[0]["buckets"]:
+            raise ValueError(f"{self.path} holds no index of format {FORMAT}: {found[:2]}")
+        return found[0]["buckets"]
+
+    def _made(self, buckets: int) -> int:
+        self.spark.createDataFrame([(FORMAT, buckets)], "format string, buckets int").coalesce(1).write.json(f"{self.path}/spec")
+        return buckets
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
