@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialize
 from . import rans
@@ -24,6 +24,8 @@ from .tokens import by_bytes, encoder, texts_of, with_end
 
 BLOCK = 1 << 19
 LANES = 2048
+# Tokens in a shard: some 35 MB packed, whatever the size of the table.
+SHARD_TOKENS = 1 << 24
 
 _BLOCKS = (
     "shard int, block int, shard_offset long, n_tokens long, doc_ids array<long>, lengths array<long>, "
@@ -38,54 +40,58 @@ _BLOCK_TYPES = pa.schema(
 )
 
 
-def _shards(docs: DataFrame, n: int) -> list[int]:
-    """Upper bounds of ``n`` ranges of doc_id with about equally many rows."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    return sorted(set(cuts or []))
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``doc_id, n_tokens, ids``: ids in byte planes, packed by zstandard.
 
-
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """``shard, doc_id, n_tokens, ids``: ids in byte planes, packed by zstandard."""
+    The last row of a task has no tokens and, for ``ids``, how often the task met each id.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, total = zstandard.ZstdCompressor(level=1), np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "ids"]
         for batch in batches:
             for part in by_bytes(batch):
                 whole, at = with_end(*encoder(tokenizer).encode(texts_of(part)), end_id)
-                doc_ids = part.column(0)
-                shard = np.searchsorted(bounds, np.asarray(doc_ids.fill_null(-(1 << 63)), np.int64), side="left").astype(np.int32)
-                payload = [pack.compress(np.ascontiguousarray(whole[a:b].view(np.uint8).reshape(-1, 4).T).tobytes()) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), doc_ids, pa.array(np.diff(at)), pa.array(payload, pa.binary())], ["shard", "doc_id", "n_tokens", "ids"])
+                n = np.bincount(whole, minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                payload = [_packed(whole[a:b], pack) for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(payload, pa.binary())], names)
+        counted = pa.array([pack.compress(total.astype("<i8").tobytes())], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), counted], names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(rows, "shard int, doc_id long, n_tokens long, ids binary")
+    return source.mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
+
+
+def _packed(ids: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """Ids in as many byte planes as the largest needs, after a byte that tells their number."""
+    planes = 1 + max(0, int(ids.max()).bit_length() - 1) // 8
+    return bytes([planes]) + pack.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes())
 
 
 def _unpacked(batch: pa.RecordBatch, unpack: zstandard.ZstdDecompressor) -> Iterator[np.ndarray]:
     for payload in batch.column(batch.schema.get_field_index("ids")):
-        planes = np.frombuffer(unpack.decompress(payload.as_buffer()), np.uint8)
-        yield np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+        data = payload.as_buffer()
+        planes = np.frombuffer(data, np.uint8, 1)[0]
+        each = np.frombuffer(unpack.decompress(data.slice(1)), np.uint8).reshape(planes, -1)
+        ids = np.zeros((each.shape[1], 4), np.uint8)
+        ids[:, :planes] = each.T
+        yield ids.view("<u4").ravel()
 
 
 def _frequencies(tokens: DataFrame) -> np.ndarray:
-    """Quantized frequency of each id over all rows; one small row per id comes back."""
+    """Quantized frequency of each id over all tasks; one small row per id comes back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for ids in _unpacked(batch, unpack):
-                if len(ids) > len(total) // 4:
-                    n = np.bincount(ids, minlength=len(total))
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    if (most := int(ids.max()) + 1) > len(total):
-                        total = np.concatenate([total, np.zeros(most - len(total), np.int64)])
-                    np.add.at(total, ids, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for counted in batch.column(0):
+                total = np.frombuffer(unpack.decompress(counted.as_buffer()), "<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    rows = tokens.where("n_tokens = 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r["id"] for r in rows), default=-1), np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -97,13 +103,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
 
     A null text counts as empty. Null ids come first; rows with the same id lie side
     by side. Further columns are ignored. An empty table writes empty tables.
-    ``shards`` (the session's shuffle partitions where not given) are ranges of
-    doc_id; texts are encoded where they are read and only packed ids are shuffled.
+    Shards are ranges of doc_id (and, within an id, of its ids' hash) with about
+    ``SHARD_TOKENS`` tokens each, or ``shards`` of them; texts are encoded where they
+    are read and only packed ids are shuffled.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = materialize(tokenize(docs, tokenizer, end_id, _shards(docs, n)), "tokens")
+    tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
     freq = _frequencies(tokens)
+    n = shards or max(1, -(-(tokens.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS))
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +150,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         if held:
             yield flush(False)
 
-    ordered = tokens.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
+    dealt = tokens.where("n_tokens > 0").repartitionByRange(n, *key).withColumn("shard", F.spark_partition_id())
+    ordered = dealt.sortWithinPartitions(*key)
     ordered.select("shard", "doc_id", "ids").mapInArrow(blocks, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -171,13 +180,10 @@ def _decoded(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
                     raise ValueError(f"block {block['block']} of shard {block['shard']} fails its checksum")
                 yield rows(block, ids)
 
-    # One row per shard; their number is the writer's parameter.
-    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
-    start, bases = 0, []
-    for r in totals:
-        bases.append((r["shard"], start))
-        start += r["n"]
-    base = F.broadcast(spark.createDataFrame(bases, "shard int, shard_start long"))
+    # One row per shard, that is per ``SHARD_TOKENS`` tokens.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    base = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     return stored.mapInArrow(read, schema).join(base, "shard")
 
 
