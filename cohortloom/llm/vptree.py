@@ -24,14 +24,31 @@ QUERY_ROWS = 512
 LEAF = 128
 
 _CHUNK = 1 << 20
+# Outside of these a sum of squares may have lost digits or overflowed.
+_TINY, _HUGE = 1e-140, 1e150
+_NOBODY = np.iinfo(np.int64).max
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows in double precision, from the differences."""
+    """Euclidean distances of rows in double precision, from the differences.
+
+    Where squares leave the range of doubles (or vanish in it), components are scaled by
+    a power of two first; a distance beyond the range itself is infinite.
+    """
     out = np.empty((len(a), len(b)))
     step = max(1, _CHUNK // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i : i + step] = np.sqrt(np.square(a[i : i + step, None, :] - b[None, :, :]).sum(-1))
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        for i in range(0, len(a), step):
+            d = a[i : i + step, None, :] - b[None, :, :]
+            out[i : i + step] = found = np.sqrt(np.square(d).sum(-1))
+            odd = ~((found > _TINY) & (found < _HUGE))
+            if odd.any():
+                at = np.nonzero(odd)
+                # Halves, so that no difference of finite components overflows.
+                half = a[i + at[0]] / 2 - b[at[1]] / 2
+                top = np.abs(half).max(axis=-1, initial=0.0)
+                unit = np.exp2(np.floor(np.log2(np.where(top > 0, top, 1.0))))
+                out[i + at[0], at[1]] = 2 * (np.sqrt(np.square(half / unit[:, None]).sum(-1)) * unit)
     return out
 
 
@@ -61,9 +78,9 @@ def build(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list]:
 
 
 def search(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: list, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the ``k`` nearest of each query; infinite where there are fewer."""
+    """Distances and ids of the ``k`` nearest of each query; ``_NOBODY`` where there are fewer."""
     near = np.full((len(queries), k), np.inf)
-    names = np.full((len(queries), k), np.iinfo(np.int64).max)
+    names = np.full((len(queries), k), _NOBODY)
 
     def visit(at: int, who: np.ndarray) -> None:
         a, b, vantage, radius, inner, outer = nodes[at]
@@ -72,10 +89,12 @@ def search(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: list,
             for i in range(0, len(who), 64):
                 some = who[i : i + 64]
                 d = distances(queries[some], vectors[rows])
-                d[own[some][:, None] == ids[rows][None, :]] = np.inf
+                n = np.broadcast_to(ids[rows], (len(some), len(rows)))
+                # The query's own rows count as nothing found: they come after every distance, infinite ones too.
+                mine = own[some][:, None] == n
+                d, n = np.where(mine, np.inf, d), np.where(mine, _NOBODY, n)
                 d = np.concatenate([near[some], d], axis=1)
-                n = np.concatenate([names[some], np.broadcast_to(ids[rows], (len(some), len(rows)))], axis=1)
-                n = np.where(np.isinf(d), np.iinfo(np.int64).max, n)
+                n = np.concatenate([names[some], n], axis=1)
                 best = np.lexsort((n, d), axis=1)[:, :k]
                 near[some] = np.take_along_axis(d, best, 1)
                 names[some] = np.take_along_axis(n, best, 1)
@@ -86,8 +105,10 @@ def search(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: list,
             if len(first):
                 visit(child, first)
         # Rounding must not leave out a neighbour at exactly the bound.
-        gap = np.abs(d - radius) * factor * (1 - 1e-12)
-        left = gap <= near[who, -1]
+        with np.errstate(invalid="ignore"):
+            gap = np.abs(d - radius) * factor * (1 - 1e-12)
+        # Beyond the range of doubles nothing is known about the other side.
+        left = (gap <= near[who, -1]) | np.isinf(d) | np.isinf(radius)
         for child, second in ((outer, who[inside & left]), (inner, who[~inside & left])):
             if len(second):
                 visit(child, second)
@@ -175,7 +196,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
                 own, queries = pickle.loads(batch.column(2)[row].as_buffer())
                 ids, data, order, nodes = pickle.loads(batch.column(3)[row].as_buffer())
                 near, names = search(data, ids, order, nodes, queries, own, k, factor)
-                at, place = np.nonzero(np.isfinite(near))
+                at, place = np.nonzero(names != _NOBODY)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(at), pa.array(own[at]), pa.array(names[at, place]), pa.array(near[at, place])],
