@@ -573,18 +573,39 @@ def validate_gene_rows(spark, sf):
     return rounded(_beside(found["by_site"], found["audit"]))
 
 
-@query()
+CALIBRATION = "n bigint, n_tumor bigint, n_normal bigint, auc double, recommended_threshold double, recommended_accuracy double, recommended_recall double, recommended_specificity double"
+
+
+@query(
+    fx.with_views(
+        fx.EXPRESSION, fx.METADATA, fx.BINARY_MODEL, fx.LOGITS, "src as (select 0 as g, y as label, p as score from scored join metadata using (sample))", RANKS,
+        body="""select 'complete' as status, 0.5::double as threshold, (select count(distinct sample) from expression) as samples, (select count(distinct pos) from expression)::int as input_genes,
+ (select count(*) from model)::int as matched_model_genes, 0::int as missing_model_genes, 'PASS' as qc_status, (select count(*) from expression where value is null) as invalid_matched_cells,
+ (select count(*) from scored where p>=0.5) as tumor_calls, (select count(*) from scored where p<0.5) as normal_calls, 'qc,scores,thresholds,calibration,explanations' as outputs, null::varchar as error,
+ tp+fn+tn+fp as n, tp+fn as n_tumor, tn+fp as n_normal, (select round(auc,6) from auc) as auc, round(threshold,6) as recommended_threshold, round((tp+tn)/cast(tp+fn+tn+fp as double),6) as recommended_accuracy,
+ round(tp/cast(tp+fn as double),6) as recommended_recall, round(tn/cast(tn+fp as double),6) as recommended_specificity from best""",
+    )
+)
 def run_workflow(spark, sf):
-    """QC, scores, explanations and calibration under one manifest row."""
+    """QC, scores, explanations and calibration under one manifest row, whose calibration is shown in columns."""
     from ..operators.workflow import run_workflow as run
     from ..session import scratch_path
 
     labels = fx.metadata(spark, sf).select("sample", "label")
     done = run(spark, fx.binary_model(spark, sf), fx.expression(spark, sf), scratch_path(spark, "workflow"), labels, top_n=3)
-    return done.drop("run_id")
+    return rounded(done.withColumn("c", F.from_json("calibration_json", CALIBRATION)).select("*", "c.*").drop("run_id", "calibration_json", "c"))
 
 
-@query()
+@query(
+    fx.with_views(
+        fx.EXPRESSION, fx.METADATA, fx.BINARY_MODEL, fx.DEGRADED,
+        "own as (select sample, count(*) filter (where value is null) as bad, count(*) as n from degraded group by sample)",
+        body="""select 'stopped_after_invalid_input' as status, 0.5::double as threshold, count(*) as samples, (select count(distinct pos) from degraded)::int as input_genes,
+ (select count(distinct d.pos) from degraded d join model m using (pos))::int as matched_model_genes, (select count(*) from model where pos not in (select pos from degraded))::int as missing_model_genes,
+ 'WARN' as qc_status, sum(bad)::bigint as invalid_matched_cells, null::bigint as tumor_calls, null::bigint as normal_calls, 'qc' as outputs, null::varchar as calibration_json,
+ printf('share of invalid cells %.6f is above 0.000000; share of invalid cells in the worst sample %.6f is above 0.000000', sum(bad)/sum(n)::double, max(bad/n::double)) as error from own""",
+    )
+)
 def run_workflow_invalid_input(spark, sf):
     """Invalid cells stop the run before any score is written."""
     from ..operators.workflow import run_workflow as run
