@@ -3,9 +3,9 @@
 Documents with the same length normaliser ``m`` form a stratum. The index keeps each
 stratum's postings (a large stratum in several blocks) sorted by term, then by falling
 tf, so that the first posting of a term bounds what the term can give there. Since m is
-one number for the whole stratum, an impact is computed once for each tf. A search
-visits the strata of a shard by falling bounds and leaves out, for each item, those
-whose bound lies below the item's least score so far.
+one number for the whole stratum, an impact is computed once for each tf. A search goes
+past the index where it lies: a task visits the strata it reads by falling bounds and
+leaves out, for each item, those whose bound lies below the item's least score so far.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialize
@@ -24,10 +25,12 @@ K = 20
 SEED = 42
 # Postings in a shard of the index, documents in a block of a stratum.
 SHARD_POSTINGS = 1 << 20
-BLOCK_DOCS = 1024
-# Items that go to the shards together, and items that are scored together.
-QUERY_ITEMS = 4096
+BLOCK_DOCS = 512
+# Postings whose strata are ordered together, and items that are scored together.
+VISIT_POSTINGS = 1 << 19
 SCORED_ITEMS = 128
+# Terms of items that are sent to the tasks at once: 16 bytes each.
+QUERY_TERMS = 1 << 19
 
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 _FOLD = bytearray(bytes(range(256)).lower())
@@ -69,24 +72,33 @@ def _termed(rows: DataFrame, name: str) -> DataFrame:
     return source.mapInArrow(count, f"{name} long, n long, terms array<long>, tfs array<int>")
 
 
-def _block(shard: int, m: int, docs: list) -> pa.RecordBatch:
-    """One row of the index: the postings of some documents of one stratum."""
+def _block(m: int, docs: list) -> pa.RecordBatch:
+    """One row of the index: the postings of some documents of one stratum, packed."""
     terms = np.concatenate([np.asarray(t, np.int64) for _, t, _ in docs])
     tfs = np.concatenate([np.asarray(tf, np.int32) for _, _, tf in docs])
     place = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for _, t, _ in docs])
     by = np.lexsort((place, -tfs, terms.view(np.uint64)))
     terms, tfs, place = terms[by], tfs[by], place[by]
     first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+    dfs = np.diff(first, append=len(terms)).astype("<i4")
+    data = b"".join(x.tobytes() for x in (terms[first].astype("<i8"), dfs, place.astype("<i4"), tfs.astype("<i4")))
+    packed = zstandard.ZstdCompressor(level=1).compress(data)
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([shard], pa.int32()), pa.array([m], pa.int64()), pa.array([[d for d, _, _ in docs]], pa.list_(pa.int64())),
-            _lists([terms[first]], np.dtype(np.int64)), _lists([np.diff(first, append=len(terms))], np.dtype(np.int32)), _lists([place], np.dtype(np.int32)), _lists([tfs], np.dtype(np.int32)),
-        ],
-        ["shard", "m", "docs", "terms", "dfs", "places", "tfs"],
-    )
+        [pa.array([m], pa.int64()), pa.array([[d for d, _, _ in docs]], pa.list_(pa.int64())), pa.array([len(first)], pa.int32()), pa.array([packed], pa.binary())],
+        ["m", "docs", "n_terms", "postings"],
+    )
 
 
-_STRATA = "shard int, m long, docs array<long>, terms array<long>, dfs array<int>, places array<int>, tfs array<int>"
+def _opened(n_terms: int, postings: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``terms, dfs, places, tfs`` of a row of the index."""
+    data = zstandard.ZstdDecompressor().decompress(postings.as_buffer())
+    terms, dfs = np.frombuffer(data, "<i8", n_terms), np.frombuffer(data, "<i4", n_terms, 8 * n_terms)
+    rest = np.frombuffer(data, "<i4", offset=12 * n_terms).reshape(2, -1)
+    return terms, dfs, rest[0], rest[1]
+
+
+# Packed, a file takes no more room in a task's batches than on disk.
+_STRATA = "m long, docs array<long>, n_terms int, postings binary"
 
 
 def build_index(docs: DataFrame, path: str, shard_postings: int = SHARD_POSTINGS) -> None:
@@ -107,25 +119,26 @@ def build_index(docs: DataFrame, path: str, shard_postings: int = SHARD_POSTINGS
     def strata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
         for batch in batches:
-            for shard, m, doc, terms, tfs in zip(*(batch.column(i).to_pylist() if i < 3 else batch.column(i) for i in range(5))):
-                if held and (of != (shard, m) or len(held) == BLOCK_DOCS):
-                    yield _block(*of, held)
+            for m, doc, terms, tfs in zip(*(batch.column(i).to_pylist() if i < 2 else batch.column(i) for i in range(4))):
+                if held and (of != m or len(held) == BLOCK_DOCS):
+                    yield _block(of, held)
                     held = []
-                of = (shard, m)
+                of = m
                 held.append((doc, terms.values, tfs.values))
         if held:
-            yield _block(*of, held)
+            yield _block(of, held)
 
     m = F.expr(f"75L + (25L * n * {count}L) div {max(1, total or 0)}L")
-    dealt = termed.withColumn("m", m).repartitionByRange(shards, "m", F.xxhash64("doc_id")).withColumn("shard", F.spark_partition_id())
-    sorted_ = dealt.sortWithinPartitions("m", "doc_id").select("shard", "m", "doc_id", "terms", "tfs")
+    dealt = termed.withColumn("m", m).repartitionByRange(shards, "m", F.xxhash64("doc_id"))
+    sorted_ = dealt.sortWithinPartitions("m", "doc_id").select("m", "doc_id", "terms", "tfs")
     sorted_.mapInArrow(strata, _STRATA).write.parquet(f"{path}/strata")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), batch.column(1).flatten()], ["term", "df"])
+            for n, postings in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _opened(n, postings)[:2]], ["term", "df"])
 
-    each = spark.read.schema(_STRATA).parquet(f"{path}/strata").select("terms", "dfs").mapInArrow(sizes, "term long, df int")
+    each = spark.read.schema(_STRATA).parquet(f"{path}/strata").select("n_terms", "postings").mapInArrow(sizes, "term long, df int")
     each.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{path}/terms")
 
 
@@ -192,13 +205,27 @@ def rank(strata: list[Stratum], items: list[tuple[np.ndarray, np.ndarray]], k: i
     return best
 
 
+def _visits(batch: pa.RecordBatch) -> Iterator[list[Stratum]]:
+    """Strata of a batch of the index, about ``VISIT_POSTINGS`` at a time."""
+    held, size = [], 0
+    for row in zip(*batch.columns):
+        held.append(Stratum(row[0].as_py(), row[1].values, *_opened(row[2].as_py(), row[3])))
+        size += len(held[-1].places)
+        if size >= VISIT_POSTINGS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def search(spark: SparkSession, path: str, items: DataFrame, k: int = K) -> DataFrame:
     """``item_id, text_key, rank, doc_id, score``: the ``k`` highest documents above zero of each item.
 
     ``items`` has ``item_id, text``. An item without terms, null included, finds nothing;
     rows that repeat id and text count once; equal ids with different texts (told apart
     by ``text_key``) are items of their own. Equal scores go by doc_id, null ids last.
-    Items come in blocks of ``QUERY_ITEMS``, and each block is scored in every shard.
+    Items are sent to the tasks in blocks of about ``QUERY_TERMS`` terms (an item alone may
+    have more); each block goes past the whole index, which is never shuffled.
     """
     count, _ = spark.read.schema("docs long, total long").parquet(f"{path}/whole").first()
     strata = spark.read.schema(_STRATA).parquet(f"{path}/strata")
@@ -208,34 +235,38 @@ def search(spark: SparkSession, path: str, items: DataFrame, k: int = K) -> Data
     worded = _termed(asked.select("item", "text"), "item").select("item", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("item", F.col("t.terms").alias("term"), F.col("t.tfs").alias("times"))
     weight = F.floor(1000 * F.log((2.0 * count + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
     weighed = worded.join(spark.read.schema("term long, df long").parquet(f"{path}/terms"), "term").select("item", "term", (weight * F.col("times")).alias("w"))
-    packed = weighed.groupBy("item").agg(F.collect_list(F.struct("term", "w")).alias("terms"))
-    blocks = max(1, -(-asked.count() // QUERY_ITEMS))
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
-    packed = materialize(packed.withColumn("block", block), "asked")
-    shards = spark.read.schema(_STRATA).parquet(f"{path}/strata").select("shard").distinct()
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # The stated items meet every shard, block by block.
-    spread = shards.withColumn("block", every).join(packed, "block").select("shard", "block", "item", "terms")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = [
-            Stratum(r[0].as_py(), r[1].values, *(np.asarray(x.values) for x in r[2:]))
-            for r in zip(*(left[c] for c in ("m", "docs", "terms", "dfs", "places", "tfs")))
-        ]
-        names, listed = np.asarray(right["item"], np.int64), right["terms"]
-        out = []
-        for a in range(0, len(names), SCORED_ITEMS):
-            some = []
-            for x in listed[a : a + SCORED_ITEMS]:
-                terms, w = np.asarray(x.values.field("term")).view(np.uint64), np.asarray(x.values.field("w"))
-                by = np.argsort(terms)
-                some.append((terms[by], w[by]))
-            out += [(np.full(len(i), names[a + at]), i, none, s) for at, (i, none, s) in enumerate(rank(own, some, k))]
-        item, ids, nameless, scores = (np.concatenate([np.zeros(0, np.int64), *(o[c] for o in out)]) for c in range(4))
-        return pa.table({"item": pa.array(item, pa.int64()), "doc_id": pa.array(ids, pa.int64(), mask=nameless.astype(bool)), "score": pa.array(scores, pa.int64())})
-
-    stratum = strata.withColumn("block", every).groupBy("shard", "block")
-    found = stratum.cogroup(spread.groupBy("shard", "block")).applyInArrow(meet, "item long, doc_id long, score long")
+    packed = materialize(weighed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("terms")), "asked")
+    n_terms = packed.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    blocks = max(1, -(-n_terms // QUERY_TERMS))
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
+
+    def past(rows: list) -> DataFrame:
+        """The best of the index for one block of items."""
+        sent = []
+        for r in rows:
+            terms, w = np.array([t["term"] for t in r["terms"]], np.int64).view(np.uint64), np.array([t["w"] for t in r["terms"]], np.int64)
+            by = np.argsort(terms)
+            sent.append((r["item"], terms[by], w[by]))
+        block = spark.sparkContext.broadcast(sent)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own in _visits(batch):
+                    for a in range(0, len(block.value), SCORED_ITEMS):
+                        some = block.value[a : a + SCORED_ITEMS]
+                        found = rank(own, [(t, w) for _, t, w in some], k)
+                        item = np.repeat([i for i, _, _ in some], [len(f[0]) for f in found])
+                        ids, nameless, scores = (np.concatenate(x) for x in zip(*found))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(item, pa.int64()), pa.array(ids, pa.int64(), mask=nameless.astype(bool)), pa.array(scores, pa.int64())],
+                            ["item", "doc_id", "score"],
+                        )
+
+        return strata.mapInArrow(find, "item long, doc_id long, score long")
+
+    found = past(packed.where(block == 0).collect())
+    for b in range(1, blocks):
+        found = found.unionByName(past(packed.where(block == b).collect()))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
     best = found.withColumn("rank", place).where(F.col("rank") <= k)
     return best.join(asked.select("item", "item_id", "text_key"), "item").select("item_id", "text_key", "rank", "doc_id", "score")

@@ -15,7 +15,7 @@ from cohortloom.llm import filter_audit, lexical, minhash_forest
 from cohortloom.session import scratch_path
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, class long, shard int, mask int, part string, kept boolean, n long, score long"
+SCHEMA = "doc_id long, text string, lang string, class long, m int, mask int, part string, kept boolean, n long, score long"
 
 
 def rows():
@@ -147,7 +147,8 @@ ITEMS = [(1, "w0 w1 w2 w2 The missing naïve"), (2, None), (3, "..."), (4, "ΑΒ
 def test_op12_equals_brute_force(spark, docs, shard, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_DOCS", 4 if shard == 50 else 1024)
     monkeypatch.setattr(lexical, "SCORED_ITEMS", 2 if shard == 50 else 128)
-    monkeypatch.setattr(lexical, "QUERY_ITEMS", 3 if shard == 50 else 4096)
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 50 if shard == 50 else 1 << 19)
+    monkeypatch.setattr(lexical, "VISIT_POSTINGS", 90 if shard == 50 else 1 << 19)
     path = scratch_path(spark, "lexical")
     lexical.build_index(docs, path, shard)
     items = spark.createDataFrame([*ITEMS, ITEMS[0]], "item_id long, text string")
@@ -178,8 +179,8 @@ def test_op12_bounds_leave_out_only_what_cannot_count():
     strata = []
     for m in range(80, 120):
         docs = [(1000 * m + i, np.sort(rng.choice(30, 6, replace=False)), rng.integers(1, 4, 6)) for i in range(int(rng.integers(1, 9)))]
-        b = lexical._block(0, m, docs)
-        strata.append(lexical.Stratum(m, b.column(2)[0].values, *(np.asarray(b.column(i)[0].values) for i in range(3, 7))))
+        b = lexical._block(m, docs)
+        strata.append(lexical.Stratum(m, b.column(1)[0].values, *lexical._opened(b.column(2)[0].as_py(), b.column(3)[0])))
     items = [(np.sort(rng.choice(40, 5, replace=False)).astype(np.uint64), rng.integers(1, 10**4, 5)) for _ in range(20)]
     got, whole = lexical.rank(strata, items, 3), lexical.rank(strata, items, 10**6)
     for (ids, _, scores), (every, _, all_scores) in zip(got, whole):
@@ -241,6 +242,7 @@ def test_sketch_clears_unique_texts_and_never_a_repeat():
     counts = np.zeros(1 << 16, np.uint8)
     at, n = np.unique(filter_audit._cells(h, 1 << 16), return_counts=True)
     counts[at] = np.minimum(n, 2)
-    maybe = filter_audit._may_repeat(h, filter_audit._packed(counts))
+    maybe = filter_audit.met(h, filter_audit._packed(counts), 2)
+    assert filter_audit.met(h, filter_audit._packed(counts), 1).all()
     assert maybe[:500].all() and maybe[4000:].all() and maybe[500:4000].mean() < 0.05
     assert (filter_audit._unpacked(filter_audit._packed(counts)) == counts).all()
