@@ -131,7 +131,8 @@ def build_index(docs: DataFrame, path: str, shard_postings: int = SHARD_POSTINGS
     m = F.expr(f"75L + (25L * n * {count}L) div {max(1, total or 0)}L")
     dealt = termed.withColumn("m", m).repartitionByRange(shards, "m", F.xxhash64("doc_id"))
     sorted_ = dealt.sortWithinPartitions("m", "doc_id").select("m", "doc_id", "terms", "tfs")
-    sorted_.mapInArrow(strata, _STRATA).write.parquet(f"{path}/strata")
+    # Rows are packed already, and compressing their large pages takes memory outside the heap.
+    sorted_.mapInArrow(strata, _STRATA).write.option("compression", "none").parquet(f"{path}/strata")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
