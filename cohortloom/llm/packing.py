@@ -1,10 +1,11 @@
 """Packing documents into sequences: repeated length patterns by least squares.
 
 The histogram of piece lengths has as many bins as a sequence has tokens, whatever
-the table's size. Patterns of two or three lengths that fill a sequence are fitted
+the table's size. Patterns of a few lengths that fill a sequence, or nearly, are fitted
 to it by non-negative least squares, rounded down, topped up where the histogram
-still has them, and what is left is packed best-fit over counts. Only the histogram
-comes to the driver. Pieces are then numbered within their length, in hash slices,
+still has them, and what is left is packed best-fit over counts. This is done for
+several bounds of what a pattern may leave free, and the fewest sequences win. Only the
+histogram comes to the driver. Pieces are then numbered within their length, in hash slices,
 and a piece's number tells its pattern, repeat and place.
 """
 
@@ -24,6 +25,9 @@ CAPACITY = 1024
 # Rows of one length that a task numbers together.
 SLICE_ROWS = 50_000
 SWEEPS = 20
+# Documents in a pattern at most, and tokens it may leave free; one plan for each bound (first: pairs and triples alone).
+MOST = 24
+SLACKS = (None, 0, 4, 16)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -72,6 +76,25 @@ def _patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
     return found
 
 
+def _longer(counts: np.ndarray, capacity: int, slack: int) -> list[tuple[int, ...]]:
+    """Patterns of four documents or more of at most two lengths, those that leave least free first.
+
+    Of each length a number of copies, and up to four of the largest other that still fits.
+    """
+    there = np.flatnonzero(counts)
+    found: dict[tuple[int, ...], int] = {}
+    for a in there.tolist():
+        for m in range(2, min(capacity // a, MOST) + 1):
+            rest = capacity - m * a
+            if rest <= slack and m > 3:
+                found[(a,) * m] = rest
+            for k in range(max(1, 4 - m), min(4, MOST - m) + 1):
+                at = int(np.searchsorted(there, rest // k, side="right")) - 1
+                if at >= 0 and (free := rest - k * int(there[at])) <= slack:
+                    found[tuple(sorted((a,) * m + (int(there[at]),) * k, reverse=True))] = free
+    return sorted(found, key=lambda p: (found[p], [-x for x in p]))
+
+
 def _fit(patterns: list[tuple[int, ...]], counts: np.ndarray) -> np.ndarray:
     """Repeats of each pattern: non-negative least squares by coordinate descent."""
     left = counts.astype(float).tolist()
@@ -89,6 +112,10 @@ def _fit(patterns: list[tuple[int, ...]], counts: np.ndarray) -> np.ndarray:
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns with repeats that use up ``counts[length]`` pieces of every length."""
+    return min((_plan(counts, capacity, slack) for slack in SLACKS), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: np.ndarray, capacity: int, slack: int | None) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64).copy()
     chosen: dict[tuple[int, ...], int] = {}
 
@@ -100,7 +127,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
                 left[x] -= n
 
     take((capacity,), int(left[capacity]))
-    patterns = _patterns(left, capacity)
+    patterns = _patterns(left, capacity) + (_longer(left, capacity, slack) if slack is not None else [])
     repeats = _fit(patterns, left)
     for p, x in zip(patterns, repeats):
         take(p, int(x))
