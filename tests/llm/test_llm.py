@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortloom.llm import exact_dedup, language, mixing, packing, pii, rans, secret_scan, simhash, token_counts, token_files, vptree
+from cohortloom.llm import exact_dedup, language, mixing, packing, pii, rans, secret_scan, simhash, token_counts, token_files, tokens, vptree
 from cohortloom.llm.queries import BYTE_BPE, END_ID
 from cohortloom.llm.tokens import encoder
 from cohortloom.session import scratch_path
@@ -56,11 +59,36 @@ def ids():
 
 def test_units_equal_the_library_on_any_white_space(ids):
     rng = random.Random(1)
-    odd = [" ", "\t", "\n", "\x1c", "\x85", "\xa0", " ", "　", "​", "a", "'s", "7", "é", "<|endoftext|>"]
+    odd = [" ", "\t", "\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "a", "'s", "7", "é", "<|endoftext|>"]
+    more = [" ", " ", " ", "\n", "\0", "\r\n", "word", "Wort", "ñ", "don't", ".", ",", "...", "!?", "(-", ")", "$5", "x1", "a.b", "ſ", "ǅ", "漢", "\u0301", "'", "_", "</s>", "<s>"]
     texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 10))) for _ in range(3000)]
-    got, n = encoder(BYTE_BPE).encode(texts)
+    texts += ["".join(rng.choice(more) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    got, n = encoder(BYTE_BPE).encode(pa.array(texts))
     assert got.tolist() == [x for t in texts for x in ids(t)]
-    assert encoder(BYTE_BPE).count(texts).tolist() == n.tolist()
+    assert encoder(BYTE_BPE).count(pa.array(texts)).tolist() == n.tolist()
+
+
+def test_units_are_right_while_the_memo_forgets(ids):
+    rng = random.Random(2)
+    few = tokens.Units(BYTE_BPE, limit=20_000)
+    turns = 0
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "und.", "que,"]) if rng.random() < 0.5 else f"{rng.choice('abc')}x{rng.randrange(3000)}!" for _ in range(30)) for _ in range(8)]
+        old = few.old
+        got, n = few.encode(pa.array(texts))
+        turns += few.old is not old
+        assert got.tolist() == [x for t in texts for x in ids(t)] and n.sum() == len(got)
+    assert turns > 3 and few.young.bytes < 60_000
+
+
+def test_units_of_very_long_texts(ids, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 700)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word", " ", "  ", "\n", "é", "don't", "x" * 900, " a"]) for _ in range(n)) for n in (3000, 2, 0, 5000)]
+    texts += ["y" * 100_000, " " * 5000, "long word " * 300_000]
+    got, n = encoder(BYTE_BPE).encode(pa.array(texts))
+    assert got.tolist() == [x for t in texts for x in ids(t)]
+    assert encoder(BYTE_BPE).count(pa.array(texts)).tolist() == n.tolist() == [len(ids(t)) for t in texts]
 
 
 def test_rans_round_trip_and_damage():
@@ -412,3 +440,151 @@ def test_op9_shards_hold_what_was_drawn(spark):
     for i, s in enumerate("abc"):
         for k in range(5):
             assert 0 <= 16 * made.counts[i][k] - got[(s, k)] < 16 * 4
+
+
+def test_op4_indexes_of_equal_folder_names_are_apart_and_keep_their_buckets(spark):
+    root = scratch_path(spark, "indexes")
+    first = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    assert exact_dedup.kept_rows(first, f"{root}/a/index").count() == 50
+    assert exact_dedup.kept_rows(first, f"{root}/b/index").count() == 50
+    # The number of buckets is the folder's, whatever the session's shuffle partitions are.
+    old = exact_dedup.DigestIndex(spark, f"{root}/c/index", 8)
+    exact_dedup.classes(exact_dedup.digests_of(first), old)
+    again = first.select((F.col("doc_id") + 100).alias("doc_id"), "text")
+    assert exact_dedup.kept_rows(again, f"{root}/c/index").count() == 0
+    assert exact_dedup.DigestIndex(spark, f"{root}/c/index/").buckets == 8
+    with pytest.raises(ValueError, match="8 buckets"):
+        exact_dedup.DigestIndex(spark, f"{root}/c/index", 4)
+
+
+def test_op4_index_is_found_by_a_session_that_did_not_make_it(spark):
+    root = scratch_path(spark, "indexes")
+    first = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    exact_dedup.dedup(first, root)
+    table = exact_dedup.DigestIndex(spark, root).table
+    spark.sql(f"drop table {table}")  # a new session's catalog does not know it; the files stay
+    assert exact_dedup.kept_rows(first, root).count() == 0
+    spark.createDataFrame([("other", 4)], "format string, buckets int").coalesce(1).write.json(f"{root}/x/spec")
+    with pytest.raises(ValueError, match="format"):
+        exact_dedup.DigestIndex(spark, f"{root}/x")
+
+
+def test_op8_vectors_at_the_ends_of_the_range_equal_brute_force(spark):
+    from decimal import Decimal
+    from fractions import Fraction
+
+    rng = np.random.default_rng(6)
+    data = [(i, (rng.normal(size=4) * scale).tolist()) for i, scale in enumerate([1e200] * 30 + [1.0] * 20 + [1e-200] * 30 + [1e307] * 20)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    exact = {i: [Fraction(v) for v in x] for i, x in data}
+    found = collections.defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 10 == 0, k=40, factor=1.0, shard_rows=25).orderBy("rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 100, 10):
+        squares = {i: sum((a - b) ** 2 for a, b in zip(x, exact[q])) for i, x in exact.items() if i != q}
+        want = sorted(squares, key=lambda i: (squares[i], i))[:40]
+        told = dict(found[q])
+        assert len(told) == 40
+        for i in (set(want) ^ set(told)) | set(want):  # ties within rounding may stand either way round
+            d = float((Decimal(squares[i].numerator) / Decimal(squares[i].denominator)).sqrt())
+            if i in told:
+                assert math.isclose(told[i], d, rel_tol=1e-12)
+            else:
+                assert math.isclose(d, max(told.values()), rel_tol=1e-12)
+
+
+def test_op8_recall_at_the_default_factor(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(40, 16))[rng.integers(40, size=3000)] + 0.3 * rng.normal(size=(3000, 16)), rng.normal(size=(1000, 16))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in vptree.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=1000).collect()}
+    want = set()
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want |= {(q, int(i)) for i in np.lexsort((np.arange(4000), d))[:10]}
+    assert len(found & want) >= 0.95 * len(want)
+
+
+def test_op2_shards_follow_the_tokens(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", 300)
+    data = [(i // 2, "some words of text " * (1 + i % 5)) for i in range(200)] + [(7, "the same id again " * k) for k in range(60)]
+    path = scratch_path(spark, "t")
+    token_files.write_token_files(spark.createDataFrame(data, "doc_id long, text string").repartition(3), path, BYTE_BPE, END_ID, block=100)
+    found = sorted(token_files.read_documents(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(d for d, _ in data)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:])) and found[0].start == 0
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.select("shard").distinct().count() > 5
+    # One id with many texts is in several shards.
+    assert blocks.where("array_contains(doc_ids, 7)").select("shard").distinct().count() > 1
+
+
+def test_running_sums_and_overlaps_of_long_arrays(spark):
+    from cohortloom.llm import spans
+
+    rng = random.Random(13)
+    data = []
+    for n in (0, 1, 511, 512, 513, 3000):
+        at = [rng.randrange(4 * n + 1) for _ in range(n)]
+        data.append(([rng.randrange(-5, 50) for _ in range(n)], [(a, a + rng.randrange(1, 9)) for a in at], [(a, a + rng.randrange(1, 4)) for a in range(0, 3 * n, 7)]))
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(data, f"v array<int>, s {kind}, o {kind}")
+    found = df.select(spans.running(F.col("v")).alias("r"), spans.apart(F.col("s"), F.col("o")).alias("a")).collect()
+    for (v, s, o), r in zip(data, found):
+        assert r.r == np.cumsum(v, dtype=int).tolist()
+        assert [tuple(x) for x in r.a] == [(b, e) for b, e in s if not any(b < e2 and b2 < e for b2, e2 in o)]
+
+
+def test_a_text_with_very_many_hits(spark):
+    numbers = [f"+1 (886) 555-{i % 10000:04d}" for i in range(60_000)]
+    text = " , ".join(numbers)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = pii.digests(pii.find(df)).first()
+    assert time.monotonic() - began < 60 and row.n_phone == 60_000
+    assert row.base_sha256 == hashlib.sha256(",".join(pii_base(text)).encode()).hexdigest()
+
+
+def test_op10_short_texts_are_packed_by_patterns_of_many(ids):
+    rng = np.random.default_rng(1)
+    for low, high, n in ((20, 342, 20_000), (20, 120, 50_000)):
+        counts = np.bincount(rng.integers(low, high, n), minlength=1025)
+        made = packing.plan(counts, 1024)
+        used = np.zeros(1025, int)
+        for p, k in made:
+            assert sum(p) <= 1024
+            for x in p:
+                used[x] += k
+        assert (used == counts).all()
+        assert sum(k for _, k in made) <= -(-int((counts * np.arange(1025)).sum()) // 1024) + 1
+        assert sum(k for p, k in made if len(p) > 3 and sum(p) == 1024) > 0.5 * sum(k for _, k in made)
+
+
+def test_op10_small_tables_against_the_least_number_of_sequences():
+    def least(lengths, room=20):
+        """Fewest sequences, by trying every place for one length after the other."""
+        best = len(lengths)
+
+        def put(i, free):
+            nonlocal best
+            if len(free) >= best:
+                return
+            if i == len(lengths):
+                best = len(free)
+                return
+            for at in {f: j for j, f in enumerate(free) if f >= lengths[i]}.values():
+                put(i + 1, [*free[:at], free[at] - lengths[i], *free[at + 1 :]])
+            put(i + 1, [*free, room - lengths[i]])
+
+        put(0, [])
+        return best
+
+    rng = random.Random(4)
+    over = 0
+    for _ in range(150):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        got = sum(k for _, k in packing.plan(np.bincount(lengths, minlength=21), 20))
+        assert least(lengths) <= got <= least(lengths) + 1
+        over += got - least(lengths)
+    assert over <= 5
