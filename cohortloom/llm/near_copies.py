@@ -1,14 +1,19 @@
 """Near copies: pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal shingle sets are one class. MinHash bands name the classes that may be alike: a
-pair at 0.8 misses all bands with odds of 3 in 100,000. Classes that share a band are
-then compared by their whole shingle sets, so no link is below the least similarity.
-A band's classes are dealt to tiles and every two tiles meet; each comparison gives
-the links of a spanning forest, never all pairs of a group.
+Equal shingle sets are one class. SimHash (``simhash``) names the classes that may be
+alike: fingerprints of 256 bits over the sets, compared in tiles by exclusive-or and bit
+counts, as op1 does with 64. Bits of a pair at 0.8 differ with odds of 0.152 (0.188 for
+four shingles against five, the worst), so it lies beyond the radius, or beyond the one of
+the first word, with odds of 3 in a million (9 in 100,000). Sets whose sizes rule 0.8 out
+do not meet. What the links reach is a group; its classes are then compared by their whole
+shingle sets, so no link is below the least similarity. A group's classes are dealt to
+tiles and every two tiles meet; each comparison gives the links of a spanning forest,
+never all pairs of a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from . import simhash
 from .components import components
 from .rows import kept_once
 from .simhash import text_key
@@ -25,18 +31,16 @@ from .tokens import by_bytes
 SHINGLE = 5
 # Least similarity as a fraction, so that it is told in whole numbers.
 LEAST = (4, 5)
-BANDS, BAND_ROWS = 20, 4
+# Words of a fingerprint; bits in which two of them, and their first words, may differ.
+FP_WORDS, RADIUS, FIRST_RADIUS = 4, 72, 24
+# Cells of sizes within the factor of 1.25 that 0.8 allows (a trifle more, for rounding).
+STEPS = 4
+CELL = math.log(LEAST[1] / LEAST[0]) * (1 + 1e-9) / STEPS
 SEED = 42
 # Classes and shingles in a tile.
 TILE = 512
 TILE_SHINGLES = 1 << 20
 
-_HASHES = 1 << 14
-_draw = np.random.default_rng(SEED)
-_TIMES, _PLUS, _MIX = (_draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) for _ in range(3))
-_TIMES |= np.uint64(1)
-_MIX |= np.uint64(1)
-
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct XXH64 of all shingles; a text of fewer words is one, without words none."""
@@ -46,33 +50,22 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in cut), np.uint64, n))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A number for each band of MinHashes; none for a text without words."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), _HASHES):
-        np.minimum(least, (found[at : at + _HASHES, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    return (least * _MIX).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
-
-
-def _banded(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, class, n_shingles, bands`` of each row."""
+def _signed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, class, n_shingles, fp`` (a fingerprint's words as bytes) of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch):
                 sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part.column(2)]
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                found = [bands(s).view(np.int64) for s in sets]
-                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                found = [simhash.wide_fingerprint(s, FP_WORDS).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))],
-                    ["doc_id", "text_key", "class", "n_shingles", "bands"],
+                    [part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.binary())],
+                    ["doc_id", "text_key", "class", "n_shingles", "fp"],
                 )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(rows, "doc_id long, text_key long, class long, n_shingles long, bands array<long>")
+    return source.mapInArrow(rows, "doc_id long, text_key long, class long, n_shingles long, fp binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -131,19 +124,24 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """``vertex, root``: classes that may be alike have equal roots; those that are alone are left out."""
+    cell = F.floor(F.log("n_shingles") / CELL)
+    return components(simhash.wide_links(classes.where("n_shingles > 0"), RADIUS, FIRST_RADIUS, cell, STEPS))
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b``: links between ``class``es that join all pairs of the least similarity which share a band."""
-    banded = classes.select("class", "n_shingles", F.explode("bands").alias("band"))
-    sums = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("class")).alias("members")).where("n > 1")
-    # Of bands with the same classes one is enough.
-    once = sums.groupBy("members", "n", "weight").agg(F.min("band").alias("band"))
+    """``a, b``: links between ``class``es that join all pairs of the least similarity which share a group."""
+    grouped = candidates(classes).join(classes.select(F.col("class").alias("vertex"), "n_shingles"), "vertex").select(F.col("vertex").alias("class"), "n_shingles", F.col("root").alias("group"))
+    grouped = materialize(grouped, "groups")
+    sums = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("n") / TILE, F.col("weight") / TILE_SHINGLES)).alias("blocks")
-    members = banded.select("class", "band").join(once.select("band", blocks), "band")
+    members = grouped.select("class", "group").join(sums.select("group", blocks), "group")
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "members")
     wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("first.text_key").alias("text_key"), "class")
     sets = materialize(_sets(docs, wanted), "shingles")
     tile = F.collect_list(F.struct("class", "shingles")).alias("tile")
-    tiles = materialize(members.join(sets, "class").groupBy("band", "block", "blocks").agg(tile), "tiles")
+    tiles = materialize(members.join(sets, "class").groupBy("group", "block", "blocks").agg(tile), "tiles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +158,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     alone = tiles.where("blocks = 1").select("tile").mapInArrow(compare, "a long, b long")
     # A pair of tiles also compares each with itself.
     many = tiles.where("blocks > 1")
-    left = many.where(F.col("block") < F.col("blocks") - 1).select("band", F.col("tile").alias("own"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
-    pairs = left.join(many.select("band", "block", "tile"), ["band", "block"]).select("own", "tile")
+    left = many.where(F.col("block") < F.col("blocks") - 1).select("group", F.col("tile").alias("own"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    pairs = left.join(many.select("group", "block", "tile"), ["group", "block"]).select("own", "tile")
     return alone.unionByName(pairs.mapInArrow(compare, "a long, b long")).distinct()
 
 
@@ -173,10 +171,10 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     included, are equal; texts of fewer than five words are alike only where their words
     are the same. An empty table gives an empty one.
     """
-    found = materialize(_banded(docs), "bands")
-    texts = found.groupBy("doc_id", "text_key", "class").agg(F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    found = materialize(_signed(docs), "fingerprints")
+    texts = found.groupBy("doc_id", "text_key", "class").agg(F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("fp").alias("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("first")
-    classes = materialize(texts.groupBy("class").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(texts.groupBy("class").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("fp").alias("fp")), "classes")
     roots = components(links(docs, classes))
     rooted = classes.select("class", "first").join(roots, F.col("class") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "class"))
     names = rooted.groupBy("root").agg(F.min("first").alias("name"))

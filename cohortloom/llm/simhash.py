@@ -28,19 +28,41 @@ SEED = 42
 # Fingerprints in a tile; a population count with more of them has several tiles.
 TILE = 4096
 WORDS = 4
+# Tiles of a table for one strip more.
+STRIP = 512
 
 _HASHES = 1 << 16
+_WIDE_HASHES = 1 << 13
 _COMPARED = 1 << 20
+_WIDE_COMPARED = 1 << 17
 # The bits of a byte, most significant first, as eight bytes.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, most significant first."""
-    bytes_ = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    bytes_ = hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1)
     # Up to 255 ones fit a byte lane.
     sums = np.add.reduceat(_SPREAD[bytes_], np.arange(0, len(bytes_), 255), axis=0)
-    return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return sums.view(np.uint8).reshape(len(sums), -1).sum(axis=0, dtype=np.int64)
+
+
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hashes, and beside them the same ones mixed anew for each further word."""
+    x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x[:, 0] = hashes
+    return x
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits over hashes of shingles; the first word is the plain one."""
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, len(hashes), _WIDE_HASHES):
+        ones += _bit_counts(_mixed(hashes[i : i + _WIDE_HASHES], words))
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -77,6 +99,20 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
 
 
+def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest vertex of each one's component, by hooking and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what lies within the radius between two tiles."""
     left, right = [], []
@@ -87,17 +123,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
         if not len(i):
             continue
         if len(i) > len(rows) + len(b):
-            # Smallest label of a component, by hooking and pointer jumping.
-            label, j = np.arange(len(rows) + len(b)), j + len(rows)
-            while True:
-                least = np.minimum(label[i], label[j])
-                new = label.copy()
-                np.minimum.at(new, i, least)
-                np.minimum.at(new, j, least)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            label = _labels(i, j + len(rows), len(rows) + len(b))
             both = np.concatenate([rows, b])
             left.append(both)
             right.append(both[label])
@@ -109,6 +135,69 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return np.concatenate(left), np.concatenate(right)
 
 
+def wide_forest(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (those of ``b`` after those of ``a``) of links that join what lies within the radius.
+
+    Rows are wide fingerprints. Those whose first words differ in more than ``first`` bits are left out.
+    """
+    n = len(a) + len(b)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    own, other = (np.ascontiguousarray(x.T) for x in (a, b))
+    step = max(1, _WIDE_COMPARED // len(b))
+    for at in range(0, len(a), step):
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(own[0, at : at + step, None] ^ other[0]) <= first), len(b))
+        i += at
+        apart = np.bitwise_count(own[0, i] ^ other[0, j])
+        # Word by word, with fewer pairs each time.
+        for x, y in zip(own[1:], other[1:]):
+            apart = apart + np.bitwise_count(x[i] ^ y[j])
+            close = np.flatnonzero(apart <= radius)
+            i, j, apart = i[close], j[close], apart[close]
+        j += len(a)
+        if len(i) > n:
+            i = _labels(i, j, n)
+            j = np.flatnonzero(i != np.arange(n))
+            i = i[j]
+        left.append(i)
+        right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    if len(i) > n:
+        i = _labels(i, j, n)
+        j = np.flatnonzero(i != np.arange(n))
+        i = i[j]
+    return i, j
+
+
+def wide_links(classes: DataFrame, radius: int, first: int, cell: Column, steps: int) -> DataFrame:
+    """``a, b``: links between ``class``es that join all whose wide fingerprints (``fp``) lie within the radius.
+
+    Only classes whose cells are at most ``steps`` apart meet. A cell's classes are dealt to
+    tiles and every two tiles are compared whole. Strips share out the tiles that one key meets.
+    """
+    celled = classes.select("class", "fp", cell.alias("cell"))
+    # Cells are few: this side is bounded by the logarithm of the sizes.
+    counts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+    dealt = celled.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    tiles = materialize(dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("class", "fp")).alias("tile")), "tiles")
+    strips = 1 + tiles.count() // STRIP
+    a = tiles.select("block", F.col("tile").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"), "cell", F.pmod("block", F.lit(strips)).alias("strip"))
+    a = a.select(F.col("block").alias("own_block"), "own", "step", (F.col("cell") + F.col("step")).alias("cell"), "strip")
+    b = tiles.select("cell", "block", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("strip"))
+    pairs = a.join(b, ["cell", "strip"]).where("step > 0 or own_block <= block").select("own", "tile")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                both = [c.slice(k, 1).flatten() for c in batch.columns]
+                keys = np.concatenate([np.asarray(x.field("class")) for x in both])
+                i, j = wide_forest(*(np.frombuffer(b"".join(x.field("fp").to_pylist()), np.uint64).reshape(len(x), -1) for x in both), radius, first)
+                low, high = np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
+                at = low != high
+                yield pa.RecordBatch.from_arrays([pa.array(low[at]), pa.array(high[at])], ["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _cell() -> Column:
     """Population counts of the words, five bits each with room for neighbours."""
     total = F.lit(0)
