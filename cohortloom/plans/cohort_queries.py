@@ -547,7 +547,7 @@ def validate_count_files(spark, sf):
 
     path, hits = fx.write_count_files(spark, sf, scratch_path(spark, "provider-counts"))
     rows_ = manifest.flatten_manifest(manifest.read_manifest(spark, hits))
-    found = external.validate_count_files(fx.binary_model(spark, sf), rows_, path, file_id=r"file=([^/]+)/")
+    found = external.validate_count_files(fx.binary_model(spark, sf), rows_, path, file_id=fx.FILE_ID)
     return rounded(_beside(found["by_type"], found["audit"]))
 
 

@@ -7,6 +7,11 @@ phenotype; ``lineitem`` count files; ``orders``/``customer`` a file manifest.
 
 from __future__ import annotations
 
+import os
+import uuid
+import zlib
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ids import donor_id
@@ -204,6 +209,37 @@ def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Folders that provider files are dealt to, and the id in a file's path.
+FOLDERS = 64
+FILE_ID = r"file=([^/.]+)"
+
+
+def write_files(texts: DataFrame, path: str) -> None:
+    """A file for each row of ``texts`` (``file, value``), its whole text.
+
+    Tasks write a mounted folder's files themselves: Spark's writer makes a folder and a
+    checksum for each and starts two processes to set their modes. Where the path is none
+    of a mounted folder, Spark's writer is used.
+    """
+    texts = texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "file")
+    at = urlsplit(path)
+    if at.scheme not in ("", "file"):
+        texts.sortWithinPartitions("file").write.partitionBy("file").text(path)
+        return
+
+    def put(rows):
+        for r in rows:
+            folder = f"{at.path}/{zlib.crc32(r['file'].encode()) % FOLDERS:02d}"
+            os.makedirs(folder, exist_ok=True)
+            # Whole or not there, also when a task runs twice.
+            part = f"{folder}/.{uuid.uuid4().hex}"
+            with open(part, "w", encoding="utf-8", newline="") as f:
+                f.write(r["value"] + "\n")
+            os.replace(part, f"{folder}/file={r['file']}.tsv")
+
+    texts.select("file", "value").foreachPartition(put)
+
+
 def write_count_files(spark: SparkSession, sf: str, path: str) -> tuple[str, str]:
     """One count file per sample in TPM, and the provider's nested manifest of them."""
     e = table(spark, sf, "embeddings")
@@ -211,8 +247,7 @@ def write_count_files(spark: SparkSession, sf: str, path: str) -> tuple[str, str
     genes = F.array(*[F.lit(g) for g in GENES])
     line = lambda i, v: F.concat_ws("\t", F.get(genes, i), F.lit("sym"), F.lit("protein_coding"), F.round(F.pow(F.lit(2.0), v) - 1, 6).cast("string"))
     head = F.array(F.lit("# gene-model: test"), F.lit("gene_id\tgene_name\tgene_type\ttpm_unstranded"))
-    lines = own.select("file", F.posexplode(F.concat(head, F.transform("cells", lambda v, i: line(i, v)))).alias("at", "value"))
-    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(f"{path}/files")
+    write_files(own.select("file", F.array_join(F.concat(head, F.transform("cells", lambda v, i: line(i, v))), "\n").alias("value")), f"{path}/files")
     m = metadata_columns()
     sample = F.struct(F.concat(F.lit("bio-"), sample_id()).alias("submitter_id"), F.when(m["y"] == 1, "Primary Tumor").otherwise("Solid Tissue Normal").alias("sample_type"))
     case = F.struct(m["case_id"].alias("submitter_id"), F.struct(m["project"].alias("project_id")).alias("project"), F.array(sample).alias("samples"))

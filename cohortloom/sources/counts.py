@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.numeric import decode_log2_tpm001, log2_tpm1, to_number
 from ..operators.align import drop_all_missing_genes, repeated_cells, select_genes
 from ..operators.checks import counted, offenders, require, union_all
-from ..session import materialize, small_side
+from ..session import few_listing_tasks, materialize, small_side
 from .matrix import ExpressionMatrix, gene_row_cells, matrix_from_long
 
 
@@ -29,7 +29,9 @@ def count_file_lines(spark: SparkSession, path: str, file_id: str = FILE_NAME) -
     whose order may differ from file to file. A file without such a line or
     without ``tpm_unstranded``, or with two different ones, is refused.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    with few_listing_tasks(spark):
+        text = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = text.select(
         F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("line")
     ).where("line <> '' and not startswith(line, '#')")
     f = F.split("line", "\t")

@@ -313,3 +313,37 @@ def test_snapshot_modes(spark, tmp_path):
     put(tmp_path / "x.csv", "a\n")
     kinds = {m: tables.input_snapshot(spark, [str(tmp_path)], m).first().fingerprint for m in ("content", "stat")}
     assert len(kinds["content"]) == 64 and kinds["stat"].startswith("stat:")
+
+
+def test_count_files_in_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        folder = tmp_path / f"f{i}"
+        folder.mkdir()
+        (folder / f"s{i}.tsv").write_text(f"gene_id\ttpm_unstranded\nENSG1.2\t{i}\n")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listing", "count files")
+    try:
+        assert counts.count_file_lines(spark, str(tmp_path)).count() == 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == old
+
+
+def test_provider_files_hold_the_whole_text_of_each_row(spark, tmp_path):
+    import glob
+
+    from cohortloom.plans import fixtures as fx
+
+    rows = [(f"id-{i}", f"# é\ngene_id\ttpm_unstranded\n\nENSG1\t{i}") for i in range(150)]
+    for path in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        texts = spark.createDataFrame(rows, "file string, value string")
+        fx.write_files(texts, path)
+        fx.write_files(texts, path)  # as when a task runs twice
+        found = {p.rsplit("file=", 1)[1]: open(p, encoding="utf-8", newline="").read() for p in glob.glob(path.removeprefix("file://") + "/*/*")}
+        assert found == {f"{k}.tsv": v + "\n" for k, v in rows}
+        got = {(r.file_id, r.value) for r in counts.read_count_files(spark, path, ["ENSG1"], fx.FILE_ID).selectExpr("file_id", "round(pow(2, value) - 1) as value").collect()}
+        assert got == {(f"id-{i}", float(i)) for i in range(150)}
