@@ -1,9 +1,13 @@
 """Nearest neighbours by vantage-point trees, one per shard of the vectors.
 
 A shard holds a few thousand vectors by the hash of their id, so a hot vector or id
-range fills none. Queries come in blocks; each block meets every shard's tree. A
+range fills none. Queries come in blocks; a task takes a block past its share of the
+trees, one at a time, and carries the nearest found so far from tree to tree. A
 subtree is left out where the triangle inequality, its bound stretched by ``factor``,
 says that it holds nothing nearer; factor one leaves out only what cannot count.
+
+In the rows that are left, a product of matrices in single precision leaves out what is
+farther than the nearest found by more than its own error; only the others are measured.
 """
 
 from __future__ import annotations
@@ -20,35 +24,48 @@ from ..session import materialize
 K = 10
 FACTOR = 1.2
 SHARD_ROWS = 4096
-QUERY_ROWS = 512
-LEAF = 128
+# Bytes of the vectors of a shard or of a block of queries, for wide vectors and many queries.
+SHARD_BYTES = 16 << 20
+QUERY_BYTES = 8 << 20
+LEAF = 512
+# Trees that a task takes its queries past, at most; fewer where that leaves cores idle.
+TASK_TREES = 512
+TASKS_A_CORE = 2
 
 _CHUNK = 1 << 20
+_STEP = 1024
 # Outside of these a sum of squares may have lost digits or overflowed.
 _TINY, _HUGE = 1e-140, 1e150
 _NOBODY = np.iinfo(np.int64).max
+# Rows of a tree table are read in groups of this size, so that a task holds few trees.
+_ROW_GROUP = {"parquet.block.size": SHARD_BYTES, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8}
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows in double precision, from the differences.
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis in double precision, from the differences.
 
     Where squares leave the range of doubles (or vanish in it), components are scaled by
     a power of two first; a distance beyond the range itself is infinite.
     """
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        found = np.sqrt(np.square(a - b).sum(-1))
+        odd = ~((found > _TINY) & (found < _HUGE))
+        if odd.any():
+            a, b = np.broadcast_arrays(a, b)
+            # Halves, so that no difference of finite components overflows.
+            half = a[odd] / 2 - b[odd] / 2
+            top = np.abs(half).max(axis=-1, initial=0.0)
+            unit = np.exp2(np.floor(np.log2(np.where(top > 0, top, 1.0))))
+            found[odd] = 2 * (np.sqrt(np.square(half / unit[:, None]).sum(-1)) * unit)
+    return found
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``."""
     out = np.empty((len(a), len(b)))
     step = max(1, _CHUNK // max(1, b.size))
-    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        for i in range(0, len(a), step):
-            d = a[i : i + step, None, :] - b[None, :, :]
-            out[i : i + step] = found = np.sqrt(np.square(d).sum(-1))
-            odd = ~((found > _TINY) & (found < _HUGE))
-            if odd.any():
-                at = np.nonzero(odd)
-                # Halves, so that no difference of finite components overflows.
-                half = a[i + at[0]] / 2 - b[at[1]] / 2
-                top = np.abs(half).max(axis=-1, initial=0.0)
-                unit = np.exp2(np.floor(np.log2(np.where(top > 0, top, 1.0))))
-                out[i + at[0], at[1]] = 2 * (np.sqrt(np.square(half / unit[:, None]).sum(-1)) * unit)
+    for i in range(0, len(a), step):
+        out[i : i + step] = _apart(a[i : i + step, None, :], b[None, :, :])
     return out
 
 
@@ -77,45 +94,179 @@ def build(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list]:
     return order, nodes
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: list, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the ``k`` nearest of each query; ``_NOBODY`` where there are fewer."""
-    near = np.full((len(queries), k), np.inf)
-    names = np.full((len(queries), k), _NOBODY)
-
-    def visit(at: int, who: np.ndarray) -> None:
-        a, b, vantage, radius, inner, outer = nodes[at]
-        if radius is None:
-            rows = order[a:b]
-            for i in range(0, len(who), 64):
-                some = who[i : i + 64]
-                d = distances(queries[some], vectors[rows])
-                n = np.broadcast_to(ids[rows], (len(some), len(rows)))
-                # The query's own rows count as nothing found: they come after every distance, infinite ones too.
-                mine = own[some][:, None] == n
-                d, n = np.where(mine, np.inf, d), np.where(mine, _NOBODY, n)
-                d = np.concatenate([near[some], d], axis=1)
-                n = np.concatenate([names[some], n], axis=1)
-                best = np.lexsort((n, d), axis=1)[:, :k]
-                near[some] = np.take_along_axis(d, best, 1)
-                names[some] = np.take_along_axis(n, best, 1)
+class Tree:
+    """A tree laid out for many queries: rows in tree order, and in single precision about their mean."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, nodes: list):
+        self.ids, self.data, self.nodes = ids, np.asarray(data, np.float64), nodes
+        self.split = [n for n, node in enumerate(nodes) if node[3] is not None]
+        self.place = {n: i for i, n in enumerate(self.split)}
+        self.vantage = [nodes[n][2] for n in self.split]
+        self.radius = np.array([nodes[n][3] for n in self.split])
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            self.mean = self.data.mean(axis=0)
+            about = self.data - self.mean
+            top = np.abs(about).max(initial=0.0)
+            # Beyond these, all rows are measured.
+            self.rough = bool(1e-100 < top < 1e100)
+            if not self.rough:
+                return
+            # A power of two, so that scaling costs no digit.
+            self.unit = 2.0 ** -np.floor(np.log2(top))
+            about *= self.unit
+            self.norms = np.square(about).sum(-1)
+            # A sum of n products in single precision, its terms rounded before, is off by less than this
+            # part of the squared lengths of both vectors, four times over; numbers that vanish in it count by ``least``.
+            dim = about.shape[1]
+            self.part, self.least = 4 * (dim + 8) * 2.0**-24, dim * 1e-20
+            self.rows = np.concatenate([about, (self.norms * (1 - self.part))[:, None]], axis=1).astype(np.float32)
+
+
+def lay_out(ids: np.ndarray, data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list]:
+    """Ids, vectors and nodes of a tree, rows in tree order, so that a leaf is a slice."""
+    order, nodes = build(np.asarray(data, np.float64), seed)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    for node in nodes:
+        if node[3] is not None:
+            node[2] = int(back[node[2]])
+    return ids[order], data[order], nodes
+
+
+def _merge(near: np.ndarray, names: np.ndarray, at: np.ndarray, d: np.ndarray, n: np.ndarray) -> None:
+    """Take found pairs, ``at`` ascending, into the nearest of each query."""
+    k = near.shape[1]
+    keep = (d < near[at, -1]) | ((d == near[at, -1]) & (n < names[at, -1]))
+    at, d, n = at[keep], d[keep], n[keep]
+    if not len(at):
+        return
+    who, first, count = np.unique(at, return_index=True, return_counts=True)
+    row, slot = np.repeat(np.arange(len(who)), count), np.arange(len(at)) - np.repeat(first, count)
+    all_d, all_n = (np.concatenate([x[who], np.full((len(who), count.max()), none)], axis=1) for x, none in ((near, np.inf), (names, _NOBODY)))
+    all_d[row, k + slot], all_n[row, k + slot] = d, n
+    best = np.lexsort((all_n, all_d), axis=1)[:, :k]
+    near[who], names[who] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_n, best, 1)
+
+
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few true cells."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64) != 0)
+    word, bit = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    return np.concatenate([words[word] * 8 + bit, whole + np.flatnonzero(flat[whole:])])
+
+
+def search(tree: Tree, queries: np.ndarray, own: np.ndarray, near: np.ndarray, names: np.ndarray, factor: float) -> None:
+    """Take a tree's rows into ``near`` and ``names``, distances and ids of the nearest of each query so far.
+
+    They start as infinite and ``_NOBODY``, and stay so where there are fewer rows.
+    """
+    for i in range(0, len(queries) if len(tree.ids) else 0, _STEP):
+        some = slice(i, i + _STEP)
+        _search(tree, queries[some], own[some], near[some], names[some], factor * (1 - 1e-12))
+
+
+def _search(tree: Tree, queries: np.ndarray, own: np.ndarray, near: np.ndarray, names: np.ndarray, factor: float) -> None:
+    rough, k = tree.rough, near.shape[1]
+    if rough:
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            about = (queries - tree.mean) * tree.unit
+            rough = bool(np.abs(about).max(initial=0.0) < 1e10)
+    if rough:
+        norms = np.square(about).sum(-1)
+        asked = np.concatenate([-2 * about, np.ones((len(about), 1))], axis=1).astype(np.float32)
+        # Bounds of the distance to each vantage row, as the product's error allows.
+        both = norms[:, None] + tree.norms[tree.vantage]
+        square = (-2 * about).astype(np.float32) @ tree.rows[tree.vantage, :-1].T + both
+        off = both * tree.part + tree.least
+        low = np.sqrt(np.maximum(square - off, 0)) / tree.unit
+        high = np.sqrt(np.maximum(square + off, 0)) / tree.unit
+    else:
+        low = high = distances(queries, tree.data[tree.vantage])
+    # Distances are rounded by less than this part, which must not leave out a neighbour at the bound.
+    part = (queries.shape[1] + 8) * 2.0**-52
+    with np.errstate(over="ignore", invalid="ignore"):
+        # Nothing of the inner or outer side is nearer than this.
+        inner_bound = (low * (1 - part) - tree.radius * (1 + part)) * factor
+        outer_bound = (tree.radius * (1 - part) - high * (1 + part)) * factor
+    # Beyond the range of doubles nothing is known about the other side.
+    unknown = np.isinf(high) | np.isinf(tree.radius)
+    inner_bound[unknown] = outer_bound[unknown] = -np.inf
+
+    pending: list[tuple] = []
+
+    def settle() -> None:
+        at, d, n = (np.concatenate(x) for x in zip(*pending))
+        by = np.argsort(at, kind="stable")
+        _merge(near, names, at[by], d[by], n[by])
+        pending.clear()
+
+    def measure(a: int, b: int, who: np.ndarray) -> None:
+        """Take the rows ``a`` to ``b`` into the nearest of the queries ``who``."""
+        if b - a > SHARD_ROWS:
+            measure(a, a + SHARD_ROWS, who)
+            measure(a + SHARD_ROWS, b, who)
             return
-        d = distances(queries[who], vectors[vantage][None])[:, 0]
-        inside = d <= radius
-        for child, first in ((inner, who[inside]), (outer, who[~inside])):
-            if len(first):
-                visit(child, first)
-        # Rounding must not leave out a neighbour at exactly the bound.
-        with np.errstate(invalid="ignore"):
-            gap = np.abs(d - radius) * factor * (1 - 1e-12)
-        # Beyond the range of doubles nothing is known about the other side.
-        left = (gap <= near[who, -1]) | np.isinf(d) | np.isinf(radius)
-        for child, second in ((outer, who[inside & left]), (inner, who[~inside & left])):
-            if len(second):
-                visit(child, second)
-
-    if len(ids):
-        visit(0, np.arange(len(queries)))
-    return near, names
+        if rough:
+            products = (asked if len(who) == len(asked) else asked[who]) @ tree.rows[a:b].T
+            with np.errstate(over="ignore", under="ignore"):
+                limit = np.square(near[who, -1] * tree.unit) * (1 + 1e-9) - norms[who] * (1 - tree.part) + tree.least
+                new = np.flatnonzero(np.isinf(limit))
+                if len(new) and b - a >= k:
+                    # The k nearest of these rows are not farther than the k least products, whatever their error.
+                    others = np.where(own[who[new], None] == tree.ids[a:b], np.float32(np.inf), products[new])
+                    slack = 2 * (norms[who[new]] + tree.norms[a:b].max()) * tree.part + tree.least
+                    limit[new] = np.partition(others, k - 1, axis=1)[:, k - 1] + slack
+                limit = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+            pairs = _true(products <= limit[:, None])
+        else:
+            pairs = np.arange(len(who) * (b - a))
+        step = max(1, _CHUNK // max(1, queries.shape[1]))
+        for i in range(0, len(pairs), step):
+            at, row = np.divmod(pairs[i : i + step], b - a)
+            at, row = who[at], row + a
+            # The query's own rows are no candidates.
+            other = own[at] != tree.ids[row]
+            at, row = at[other], row[other]
+            pending.append((at, _apart(queries[at], tree.data[row]), tree.ids[row]))
+            # Few pairs may wait for each other: bounds that are known late are only looser.
+            if sum(len(x) for x, _, _ in pending) >= len(queries):
+                settle()
+
+    # Queries that have too few neighbours yet begin at the leaf on their side of every vantage row.
+    home = np.full(len(queries), -1)
+    todo = [(0, np.flatnonzero(names[:, -1] == _NOBODY))]
+    while todo:
+        at, who = todo.pop()
+        a, b, _, radius, inner, outer = tree.nodes[at]
+        if not len(who):
+            continue
+        if radius is None:
+            home[who] = at
+            measure(a, b, who)
+            if pending:
+                settle()
+            continue
+        inside = inner_bound[who, tree.place[at]] <= 0
+        todo += [(outer, who[~inside]), (inner, who[inside])]
+    todo = [(0, np.arange(len(queries)), None)]
+    while todo:
+        at, who, bound = todo.pop()
+        if bound is not None:
+            who = who[bound[who] <= near[who, -1]]
+        a, b, _, radius, inner, outer = tree.nodes[at]
+        if radius is None:
+            who = who[home[who] != at]
+        if not len(who):
+            continue
+        if radius is None:
+            measure(a, b, who)
+            continue
+        i = tree.place[at]
+        todo += [(outer, who, outer_bound[:, i]), (inner, who, inner_bound[:, i])]
+    if pending:
+        settle()
 
 
 def valid(vector: Column) -> Column:
@@ -126,7 +277,7 @@ def valid(vector: Column) -> Column:
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
-    return np.asarray(flat, np.float64).reshape(-1, dim)
+    return np.asarray(flat).reshape(-1, dim)
 
 
 def _distinct(ids: np.ndarray, vectors: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -144,24 +295,21 @@ def _distinct(ids: np.ndarray, vectors: np.ndarray, most: int | None) -> tuple[n
     return ids, vectors
 
 
-def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``dim, shard, shards, tree``: the trees of all ``vec_id, embedding`` that take part.
+def index(vectors: DataFrame, k: int = K, shards: int = 1) -> DataFrame:
+    """``dim, shard, tree``: the trees of all ``vec_id, dim, embedding`` that take part.
 
     Of equal vectors a shard keeps the ``k`` + 1 smallest ids: as ties go to the smaller
     id and one of them may be the query's own, no other can be among ``k`` nearest.
     """
-    rows = vectors.count()
-    shards = max(1, -(-rows // shard_rows))
 
     def grow(key: tuple, table: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        ids, data = _distinct(np.asarray(table["vec_id"], np.int64), _matrix(table["embedding"], dim), k + 1)
-        order, nodes = build(data, key[1].as_py())
-        tree = pickle.dumps((ids, data, order, nodes), protocol=5)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), "shards": pa.array([shards], pa.int64()), "tree": pa.array([tree], pa.binary())})
+        dim, shard = (x.as_py() for x in key)
+        rows = _distinct(np.asarray(table["vec_id"], np.int64), _matrix(table["embedding"], dim), k + 1)
+        tree = pickle.dumps(lay_out(*rows, shard), protocol=5)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64()), "tree": pa.array([tree], pa.binary())})
 
     sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    return materialize(sharded.groupBy("dim", "shard").applyInArrow(grow, "dim int, shard long, shards long, tree binary"), "trees")
+    return materialize(sharded.groupBy("dim", "shard").applyInArrow(grow, "dim int, shard long, tree binary"), "trees", **_ROW_GROUP)
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -172,36 +320,50 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
     part; vectors of different lengths never meet; repeated rows count once. Further
     columns are ignored; an empty table gives an empty one. ``factor`` over one may miss
     neighbours; at the default recall was 1.0 for 513 queries over 51,282 vectors.
+
+    Every block of queries meets every tree. Neither is copied for that: a task reads its
+    trees and its block where they were written, so disk and rows grow with the input.
     """
     ok = embeddings.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    chosen = ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
-    trees = index(chosen.drop("is_query"), k, shard_rows)
-    asked = chosen.where("is_query").drop("is_query")
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    shards = max(1, (trees.agg(F.max("shards")).first()[0] or 1))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    chosen = ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), vector.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    size = F.col("dim").cast("long") * (4 if single else 8)
+    rows, volume, asked = chosen.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("is_query"), size)), F.lit(0))).first()
+    shards, blocks = max(1, -(-rows // shard_rows), -(-volume // SHARD_BYTES)), max(1, -(-asked // QUERY_BYTES))
+    trees = index(chosen.drop("is_query"), k, shards).drop("shard")
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        rows = _distinct(np.asarray(table["vec_id"], np.int64), _matrix(table["embedding"], key[0].as_py()), None)
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "queries": pa.array([pickle.dumps(rows, protocol=5)], pa.binary())})
+        found = _distinct(np.asarray(table["vec_id"], np.int64), _matrix(table["embedding"], key[0].as_py()), None)
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "queries": pa.array([pickle.dumps(found, protocol=5)], pa.binary())})
 
-    blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    packed = blocked.groupBy("dim", "block").applyInArrow(pack, "dim int, block long, queries binary")
-    spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    pairs = spread.join(trees.drop("shards"), ["dim", "shard"]).select("dim", "block", "queries", "tree")
+    blocked = chosen.where("is_query").drop("is_query").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    packed = blocked.groupBy("dim", "block").applyInArrow(pack, "dim int, block long, queries binary").repartition(blocks)
+    shares = max(-(-TASKS_A_CORE * embeddings.sparkSession.sparkContext.defaultParallelism // blocks), -(-shards // TASK_TREES))
+    # Each task pairs one share of the trees, as it is read, with the blocks of one partition.
+    pairs = trees.coalesce(shares).hint("shuffle_replicate_nl").join(packed, "dim").select("dim", "block", "queries", "tree")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[tuple, tuple] = {}
         for batch in batches:
+            tree = last = None
             for row in range(batch.num_rows):
-                dim, block = (batch.column(i)[row].as_py() for i in (0, 1))
-                own, queries = pickle.loads(batch.column(2)[row].as_buffer())
-                ids, data, order, nodes = pickle.loads(batch.column(3)[row].as_buffer())
-                near, names = search(data, ids, order, nodes, queries, own, k, factor)
-                at, place = np.nonzero(names != _NOBODY)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(at), pa.array(own[at]), pa.array(names[at, place]), pa.array(near[at, place])],
-                    ["dim", "block", "number", "query_id", "vec_id", "score"],
-                )
+                key = tuple(batch.column(i)[row].as_py() for i in (0, 1))
+                if key not in asked:
+                    own, queries = pickle.loads(batch.column(2)[row].as_buffer())
+                    asked[key] = own, np.asarray(queries, np.float64), np.full((len(own), k), np.inf), np.full((len(own), k), _NOBODY)
+                own, queries, near, names = asked[key]
+                data = batch.column(3)[row].as_buffer()
+                if last is None or not data.equals(last):
+                    tree, last = Tree(*pickle.loads(data)), data
+                search(tree, queries, own, near, names, factor)
+        for (dim, block), (own, _, near, names) in asked.items():
+            at, place = np.nonzero(names != _NOBODY)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(at), pa.array(own[at]), pa.array(names[at, place]), pa.array(near[at, place])],
+                ["dim", "block", "number", "query_id", "vec_id", "score"],
+            )
 
     found = pairs.mapInArrow(find, "dim int, block long, number long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("dim", "block", "number").orderBy("score", "vec_id"))

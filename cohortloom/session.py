@@ -47,15 +47,16 @@ def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
-def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", by: str | None = None, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result feeds several later jobs and must be the same in all
     of them even if executors are lost in between. ``by`` splits the table into
-    folders, so a filter on that column reads only what it names.
+    folders, so a filter on that column reads only what it names. ``options`` go
+    to the writer.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write
+    writer = df.write.options(**options)
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)

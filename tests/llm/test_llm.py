@@ -547,6 +547,66 @@ def test_op8_recall_at_the_default_factor(spark):
     assert len(found & want) >= 0.95 * len(want)
 
 
+def _vectors(kind, n):
+    rng = np.random.default_rng(21)
+    unit = rng.normal(size=(n, 16))
+    return {
+        "unit": lambda: unit / np.linalg.norm(unit, axis=1)[:, None],
+        "far from the origin": lambda: unit + 1000,
+        "copies": lambda: np.repeat(unit[: n // 30], 30, axis=0),
+        "grid": lambda: rng.integers(1, 4, size=(n, 5)).astype(float),
+        "scales": lambda: unit[:, :4] * 10.0 ** rng.integers(-200, 200, size=(n, 1)),
+        "outlier": lambda: unit * np.where(np.arange(n) == 5, 1e9, 1.0)[:, None],
+        "one-hot": lambda: np.eye(16)[rng.integers(16, size=n)],
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["unit", "far from the origin", "copies", "grid", "scales", "outlier", "one-hot"])
+def test_op8_rough_products_leave_out_no_neighbour(spark, monkeypatch, kind):
+    """Several blocks, shards and leaves; distances as the differences give them, to the last bit."""
+    monkeypatch.setattr(vptree, "QUERY_BYTES", 4000, raising=False)
+    monkeypatch.setattr(vptree, "LEAF", 32)
+    x = _vectors(kind, 1500)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 10 == 0, factor=1.0, shard_rows=400).orderBy("rank").collect():
+        found[r.query_id].append((r.score, r.vec_id))
+    assert len(found) == 150
+    for q, got in found.items():
+        d = vptree.distances(x[q][None], x)[0]
+        assert got == sorted((d[i], i) for i in range(len(x)) if i != q)[:10]
+
+
+def test_op8_takes_single_precision_as_it_is(spark):
+    x = np.random.default_rng(4).normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    wide = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    single, double = (vptree.nearest(v, F.col("vec_id") % 10 == 0, factor=1.0, shard_rows=100).collect() for v in (df, wide))
+    assert len(single) == 300 and sorted(single) == sorted(double)
+
+
+def test_op8_copies_no_queries_to_the_shards(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 64))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+
+    def shuffled(shard_rows):
+        store = spark.sparkContext._jsc.sc().statusStore()
+        written = lambda: store.executorList(False).head().totalShuffleWrite()
+        before = written()
+        assert vptree.nearest(df, F.col("vec_id") % 10 == 0, shard_rows=shard_rows).count() == 3000
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return written() - before
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a table too large for it
+    try:
+        few, many = shuffled(1000), shuffled(32)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # As many bytes with 94 shards as with three, and in proportion to the table.
+    assert 0 < many < 1.5 * few and many < 3 * x.nbytes
+
+
 def test_op2_shards_follow_the_tokens(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_TOKENS", 300)
     data = [(i // 2, "some words of text " * (1 + i % 5)) for i in range(200)] + [(7, "the same id again " * k) for k in range(60)]
