@@ -29,11 +29,11 @@ SHARD_BYTES = 16 << 20
 QUERY_BYTES = 8 << 20
 LEAF = 512
 # Trees that a task takes its queries past, at most; fewer where that leaves cores idle.
-TASK_TREES = 512
+TASK_TREES = 1024
 TASKS_A_CORE = 2
 
 _CHUNK = 1 << 20
-_STEP = 1024
+_STEP = 2048
 # Outside of these a sum of squares may have lost digits or overflowed.
 _TINY, _HUGE = 1e-140, 1e150
 _NOBODY = np.iinfo(np.int64).max
@@ -270,12 +270,30 @@ def _search(tree: Tree, queries: np.ndarray, own: np.ndarray, near: np.ndarray,
 
 
 def valid(vector: Column) -> Column:
-    """Whether a vector takes part: not null, not zero, every component finite."""
-    finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    """Whether an array of floats or doubles takes part: not null, not zero, every component finite.
+
+    In whole-array functions, which Spark compiles, where one call a component would be
+    interpreted. Searching for NaN gives null where there is a null instead.
+    """
+    least, most = F.array_min(vector), F.array_max(vector)
+    whole = ~F.array_contains(vector, F.lit(float("nan")).cast("float"))
+    return F.coalesce(whole & (least > -float("inf")) & (most < float("inf")) & ((least != 0) | (most != 0)), F.lit(False))
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as their bytes, zeros unsigned: equal vectors are equal bytes, which Spark sorts faster than arrays."""
+    for batch in batches:
+        vectors = batch.column("embedding")
+        flat = np.asarray(vectors.flatten()) + 0.0
+        ends = (np.asarray(vectors.offsets) - vectors.offsets[0].as_py()) * flat.itemsize
+        told = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), told], ["vec_id", "dim", "embedding"])
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        flat = b"".join(column.to_pylist())
+        return np.frombuffer(flat, f"f{len(flat) // max(1, len(column) * dim)}").reshape(-1, dim)
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
     return np.asarray(flat).reshape(-1, dim)
 
@@ -296,7 +314,8 @@ def _distinct(ids: np.ndarray, vectors: np.ndarray, most: int | None) -> tuple[n
 
 
 def index(vectors: DataFrame, k: int = K, shards: int = 1) -> DataFrame:
-    """``dim, shard, tree``: the trees of all ``vec_id, dim, embedding`` that take part.
+    """``dim, shard, tree``: the trees of all ``vec_id, dim, embedding`` that take part,
+    vectors as arrays or as bytes.
 
     Of equal vectors a shard keeps the ``k`` + 1 smallest ids: as ties go to the smaller
     id and one of them may be the query's own, no other can be among ``k`` nearest.
@@ -324,14 +343,22 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
     Every block of queries meets every tree. Neither is copied for that: a task reads its
     trees and its block where they were written, so disk and rows grow with the input.
     """
-    ok = embeddings.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
     single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
     vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    ok = embeddings.where(valid(vector) & F.col("vec_id").isNotNull())
     chosen = ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), vector.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     size = F.col("dim").cast("long") * (4 if single else 8)
-    rows, volume, asked = chosen.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("is_query"), size)), F.lit(0))).first()
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    rows, volume, asked, different = chosen.agg(F.count("*"), total(size), total(F.when(F.col("is_query"), size)), F.approx_count_distinct(F.xxhash64("embedding"))).first()
+    items = chosen.drop("is_query")
+    if rows > 2 * (k + 1) * different:
+        # Mostly copies: what index() says of equal vectors in a shard holds for the table too.
+        copy = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+        items = items.mapInArrow(_as_bytes, "vec_id long, dim int, embedding binary")
+        items = items.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+        rows, volume = 2 * (k + 1) * different, volume * 2 * (k + 1) * different // rows
     shards, blocks = max(1, -(-rows // shard_rows), -(-volume // SHARD_BYTES)), max(1, -(-asked // QUERY_BYTES))
-    trees = index(chosen.drop("is_query"), k, shards).drop("shard")
+    trees = index(items, k, shards).drop("shard")
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         found = _distinct(np.asarray(table["vec_id"], np.int64), _matrix(table["embedding"], key[0].as_py()), None)

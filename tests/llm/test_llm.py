@@ -577,6 +577,23 @@ def test_op8_rough_products_leave_out_no_neighbour(spark, monkeypatch, kind):
         assert got == sorted((d[i], i) for i in range(len(x)) if i != q)[:10]
 
 
+def test_op8_table_of_copies_and_repeated_rows(spark, monkeypatch):
+    """Of equal vectors only the smallest ids are indexed, however often a row is repeated."""
+    x = np.random.default_rng(5).normal(size=(20, 4))
+    x[0] = -0.0, 0.0, 1.0, 2.0
+    data = [(i, x[i % 20]) for i in range(2000)]
+    data += [(3, x[3])] * 100 + [(i, np.where(x[0] == 0, 0.0, x[0])) for i in (2000, 2020)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<double>")
+    sizes, index = [], vptree.index
+    monkeypatch.setattr(vptree, "index", lambda items, *a: (sizes.append(items.distinct().count()), index(items, *a))[1])
+    found = collections.defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 100 == 3, k=15, factor=1.0, shard_rows=100).orderBy("rank").collect():
+        found[r.query_id].append((r.score, r.vec_id))
+    assert len(found) == 20 and sizes[0] <= 20 * 16
+    for q, got in found.items():
+        assert got == sorted({(vptree.distances(x[q % 20][None], v[None])[0, 0], i) for i, v in data if i != q})[:15]
+
+
 def test_op8_takes_single_precision_as_it_is(spark):
     x = np.random.default_rng(4).normal(size=(300, 8)).astype(np.float32)
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
